@@ -25,6 +25,21 @@ def _hash(key: Column) -> Column:
     return F.unhex(F.md5(key))
 
 
+def _lost(d: DataFrame, min_points: int, min_docs: int) -> DataFrame:
+    """(__loser, __lost): the hashes of keys whose lines a doc_id loses."""
+    keys = F.filter(F.transform(F.split(_ascii_lower(F.col("text")), "\n", -1), _stripped), lambda k: F.length(k) >= min_points)
+    lines = d.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("key"))
+    over = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("held_by"), F.max("doc_id").alias("home")).where(F.col("held_by") >= min_docs).select("key", "home")
+    gone = lines.join(over, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("home")))
+    return gone.groupBy(F.col("doc_id").alias("__loser")).agg(F.collect_set("key").alias("__lost"))
+
+
+def _staying(text: Column) -> Column:
+    whole = F.split(text, "\n", -1)
+    stays = F.filter(whole, lambda line: ~F.array_contains("__lost", _hash(_stripped(_ascii_lower(line)))))
+    return F.when(F.col("__lost").isNull(), whole).otherwise(stays)
+
+
 def line_dedup(docs: DataFrame, min_points: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_dropped, kept_text.
 
@@ -42,28 +57,24 @@ def line_dedup(docs: DataFrame, min_points: int = 20, min_docs: int = 3, id_col:
     it. An empty table gives an empty result; further columns of any name are ignored.
     """
     d = documents(docs, id_col, text_col)
-    lowered = _ascii_lower(F.col("text"))
-    keys = F.filter(F.transform(F.split(lowered, "\n", -1), _stripped), lambda k: F.length(k) >= min_points)
-    lines = d.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("key"))
-    over = (
-        lines.groupBy("key").agg(F.count_distinct("doc_id").alias("held_by"), F.max("doc_id").alias("home")).where(F.col("held_by") >= min_docs).select("key", "home")
-    )
-    lost = (
-        lines.join(over, "key")
-        .where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("home")))
-        .groupBy(F.col("doc_id").alias("loser"))
-        .agg(F.collect_set("key").alias("lost"))
-    )
-    whole = F.split(F.col("text"), "\n", -1)
-    gone = F.coalesce(F.size("lost"), F.lit(0)) > 0
-    stays = F.filter(whole, lambda line: ~F.array_contains("lost", _hash(_stripped(_ascii_lower(line)))))
+    lost = _lost(d, min_points, min_docs)
     return (
-        d.join(lost, F.col("doc_id").eqNullSafe(F.col("loser")), "left")
-        .select("doc_id", F.size(whole).cast("long").alias("n_lines"), F.when(gone, stays).otherwise(whole).alias("stays"))
+        d.join(lost, F.col("doc_id").eqNullSafe(F.col("__loser")), "left")
+        .select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), _staying(F.col("text")).alias("stays"))
         .select("doc_id", "n_lines", (F.col("n_lines") - F.size("stays")).alias("n_dropped"), F.array_join("stays", "\n").alias("kept_text"))
     )
 
 
+def without_shared_lines(docs: DataFrame, min_points: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """All rows and columns of docs with the text that line_dedup() keeps, and its length in size_col, where docs has that."""
+    lost = _lost(documents(docs, id_col, text_col), min_points, min_docs)
+    out = docs.join(lost, docs[id_col].eqNullSafe(F.col("__loser")), "left")
+    out = out.withColumn(text_col, F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(F.array_join(_staying(F.col(text_col)), "\n")))
+    if size_col in docs.columns:
+        out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
+    return out.select(*docs.columns)
+
+
 def digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -3,15 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parchment.llm import exact_dedup, line_dedup, sharding
+from parchment.llm import decontamination, exact_dedup, line_dedup, near_dedup, pieces, pii, sharding, substring_dedup, token_counts, toxicity
 from parchment.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public vocabularies has a file; executors have the same."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.roundtrip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.contract(sharding.shard(table(spark, sf_dir, "documents")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -20,5 +49,27 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_exact_dedup, op8_line_dedup)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_dedup,
+        op2_sentencepiece,
+        op3_substring_dedup,
+        op4_decontamination,
+        op5_sharding,
+        op6_token_counts,
+        op7_exact_dedup,
+        op8_line_dedup,
+        op9_toxicity,
+        op10_pii,
+    )
+}
 ORACLES = {"op5_sharding": sharding.oracle_sql(), "op7_exact_dedup": exact_dedup.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
