@@ -198,7 +198,7 @@ def _unique_texts(t: pa.Table) -> tuple[pa.Array, pa.Array]:
 def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
     """(g, part, codes): the idf of a group's distinct shingles, in order of their hashes."""
 
-    def send(key, t: pa.Table) -> pa.Table:
+    def send(key, t):
         _, h, _, _ = _vectors(_unique_texts(t)[1])
         at = _runs(h)
         h, df = h[at], np.diff(np.concatenate([at, [len(h)]]))
@@ -215,7 +215,7 @@ def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
             }
         )
 
-    def count(key, t: pa.Table) -> pa.Table:
+    def count(key, t):
         sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
         df = [np.frombuffer(x.as_buffer(), np.uint32) if len(x.as_buffer()) else np.ones(len(h), np.uint32) for x, h in zip(t.column("df"), sent, strict=True)]
         h, df = np.concatenate(sent), np.concatenate(df)
@@ -232,7 +232,7 @@ def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
 
 
 def _profile(bands: int, rows: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key, left, right):
         ids, texts = _unique_texts(left)
         text, h, tf, words = _vectors(texts)
         right = right.combine_chunks().sort_by("part")
@@ -298,7 +298,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: str) -
     )
     each = texts.join(salted, F.col("doc_id") == F.col("member")).select("leader", "salt", "member", "text", "codes")
 
-    def run(key, t: pa.Table) -> pa.Table:
+    def run(key, t):
         member = t.column("member").combine_chunks()
         lead = int(np.flatnonzero(np.asarray(member.is_null()))[0])
         rows = t.combine_chunks()

@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, d: DataFrame, threshold: float, min_words: int,
     )
     each = cuts.join(salted, F.col("key") == F.col("member")).select("leader", "salt", "member", "words")
 
-    def verify(key, t: pa.Table) -> pa.Table:
+    def verify(key, t):
         t = t.combine_chunks()
         w = Words(t.column("words").chunk(0))
         shingles, owner = w.shingles(SIZE)
