@@ -136,23 +136,33 @@ def search(part: Part, words: Words, stride: int, threshold: float) -> list[tupl
     hit, block = np.nonzero(bound >= threshold)
     if not len(hit):
         return []
-    ends = np.concatenate([starts[1:], [len(window)]])
-    blocks, found = part.maxima.shape[1], []
-    for h, b in zip(hit.tolist(), block.tolist(), strict=True):
-        span = slice(starts[h], ends[h])
-        key = row[span] * blocks + b
-        key = key[part.maxima[row[span], b] > 0]
-        low, high = np.searchsorted(part.key, key), np.searchsorted(part.key, key, side="right")
-        posting = np.concatenate([np.arange(x, y) for x, y in zip(low, high, strict=True)])
-        score = np.bincount(part.item[posting] - b * BLOCK, part.impact[posting], BLOCK)
-        for i in np.flatnonzero(score >= threshold):
-            w = int(window[starts[h]])
-            t = int(np.searchsorted(before, w, side="right") - 1)
-            first = int(words.text_at[t]) + (w - int(before[t])) * stride
-            found.append((t, int(i) + b * BLOCK, float(score[i]), first, min(first + 2 * stride, int(words.text_at[t + 1]))))
+    # every pair of a passage and a block that is left, with the passage's terms in the block
+    blocks = part.maxima.shape[1]
+    terms_of = np.diff(np.concatenate([starts, [len(window)]]))[hit]
+    pair = np.repeat(np.arange(len(hit)), terms_of)
+    term = row[np.repeat(starts[hit], terms_of) + _within(terms_of)]
+    there = part.maxima[term, block[pair]] > 0
+    pair, key = pair[there], term[there] * blocks + block[pair[there]]
+    low = np.searchsorted(part.key, key)
+    many = np.searchsorted(part.key, key, side="right") - low
+    posting = np.repeat(low, many) + _within(many)
+    place = np.repeat(pair, many) * BLOCK + part.item[posting] - block[np.repeat(pair, many)] * BLOCK
+    score = np.bincount(place, part.impact[posting], len(hit) * BLOCK)
+    found = []
+    for at in np.flatnonzero(score >= threshold).tolist():
+        h, i = divmod(at, BLOCK)
+        w = int(window[starts[hit[h]]])
+        t = int(np.searchsorted(before, w, side="right") - 1)
+        first = int(words.text_at[t]) + (w - int(before[t])) * stride
+        found.append((t, i + int(block[h]) * BLOCK, float(score[at]), first, min(first + 2 * stride, int(words.text_at[t + 1]))))
     return found
 
 
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts, one behind the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
