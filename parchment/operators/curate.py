@@ -27,6 +27,10 @@ def _spaced(word: str) -> str:
     return r"\b" + r"\s?".join(word) + r"\b"
 
 
+def _named(around: Column, modal: str) -> Column:
+    return F.transform(around, lambda w: F.struct(F.lit(modal).alias("modal"), F.rlike(w, F.lit(NEGATED)).alias("negated")))
+
+
 def modals(c: Column | str) -> Column:
     """Sorted distinct array<struct<modal, negated>> of the ranked modals in a text."""
     c = F.col(c) if isinstance(c, str) else c
@@ -34,7 +38,7 @@ def modals(c: Column | str) -> Column:
     for m in STRENGTH:
         p = rf"(?i)((?:\w+\s+){{0,{REACH}}}){_spaced(m)}((?:\s+\w+){{0,{REACH}}})"
         around = F.zip_with(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.regexp_extract_all(c, F.lit(p), F.lit(2)), lambda a, b: F.concat_ws(" ", a, b))
-        per.append(F.transform(around, lambda w, m=m: F.struct(F.lit(m).alias("modal"), F.rlike(w, F.lit(NEGATED)).alias("negated"))))
+        per.append(_named(around, m))
     return F.array_sort(F.array_distinct(F.concat(*per)))
 
 

@@ -36,6 +36,8 @@ def oracle(sql: str, sf_dir: str) -> pd.DataFrame:
 def _plain(v):
     if v is None or (isinstance(v, float) and math.isnan(v)) or v is pd.NaT or v is pd.NA:
         return None
+    if isinstance(v, pd.Timestamp):
+        return v.to_pydatetime()
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
