@@ -22,6 +22,7 @@ def per_query(hits: DataFrame, truth: DataFrame, queries: DataFrame, cuts: tuple
     Every query stands for every retriever, also one without hits. Recall counts distinct chunks over the
     relevant set; precision divides by the cut, not by the list.
     """
+    hits = hits.persist()  # k rows a query, read twice below
     t = truth.select("query_id", "chunk_id").distinct()
     n = t.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     h = hits.join(t.withColumn("relevant", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
