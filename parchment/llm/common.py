@@ -42,3 +42,12 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
 def groups_for(size: int, each: int = 8 << 20) -> int:
     """How many hash groups of about `each` bytes hold `size` bytes."""
     return max(1, math.ceil(size / each))
+
+
+#: Rows of ids that may be broadcast; beyond it both sides of a join are shuffled.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if a count shows that it has at most FEW rows."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df

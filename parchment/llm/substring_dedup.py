@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import documents, durable
+from parchment.llm.common import documents, durable, few
 from parchment.llm.components import components
 from parchment.llm.words import Words, mixed, parts
 
@@ -32,7 +32,7 @@ def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 64)
             grid = np.linspace(0, threshold, 101)
             chance = float((1 - (1 - grid**rows) ** bands).mean())
             # a band costs a shuffled row for every paragraph, a chance meeting a verified pair
-            cost = chance + 0.02 * bands
+            cost = chance + 0.05 * bands
             best = min(best or (cost, bands, rows), (cost, bands, rows))
     return best[1], best[2]
 
@@ -118,8 +118,8 @@ def repeated_passages(
     Paragraphs with the same words are one class from the start: a passage of a third of all
     documents is one row of each task. Only one of each goes to the bands, whose numbers follow
     from the threshold and the recall asked for. Every member of a bucket meets the bucket's
-    leader; classes of the same bucket that this leaves apart meet each other by their leaders
-    in other buckets. Colliding pairs are verified on whole paragraphs, read again by document.
+    leader, and members that stay apart from it meet each other by their leaders in other
+    buckets. Colliding pairs are verified on whole paragraphs, read again by document.
 
     Null and empty texts have no paragraphs. A null doc_id is left out. Rows that repeat a
     doc_id count as one document. An empty table gives an empty result. Further columns of any
@@ -128,20 +128,22 @@ def repeated_passages(
     kind = docs.schema[id_col].dataType.simpleString()
     bands, rows = tuned(threshold)
     d = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    found = durable(d.mapInArrow(_profiles(bands, rows, min_words), f"doc_id {kind}, paragraph int, n_words int, key binary, bands array<bigint>").dropDuplicates(["doc_id", "paragraph", "key"]))
-    exact = found.groupBy("key").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.first("bands").alias("bands"))
-    buckets = exact.select("key", "first", F.explode("bands").alias("bucket"))
-    # (bucket, row) alone travel; the least row of a bucket leads it
-    leaders = buckets.groupBy("bucket").agg(F.min(F.struct("first", "key")).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    pairs = durable(
-        buckets.join(leaders, "bucket")
-        .where("key <> leader.key")
-        .select(F.col("leader.key").alias("leader"), F.col("leader.first").alias("leader_at"), F.col("key").alias("member"), F.col("first").alias("member_at"))
-        .dropDuplicates(["leader", "member"])
+    found = durable(
+        d.mapInArrow(_profiles(bands, rows, min_words), f"doc_id {kind}, paragraph int, n_words int, key binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
     )
+    exact = found.groupBy("key").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
+    buckets = exact.select("row", F.explode("bands").alias("bucket"))
+    # rows of two numbers alone travel; the least row of a bucket leads it
+    leaders = buckets.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
+    met = durable(buckets.join(leaders, "bucket").where("row <> leader").select("leader", F.col("row").alias("member")).distinct())
+    where = found.select("row", F.col("key"), F.struct("doc_id", "paragraph").alias("at"))
+    ends = durable(few(met.select(F.col("leader").alias("row")).unionAll(met.select("member")).distinct()).join(where, "row"))
+    pairs = met.join(ends.select(F.col("row").alias("leader"), F.col("key").alias("k1"), F.col("at").alias("leader_at")), "leader")
+    pairs = pairs.join(ends.select(F.col("row").alias("member"), F.col("key").alias("k2"), F.col("at").alias("member_at")), "member")
+    pairs = durable(pairs.select(F.col("k1").alias("leader"), "leader_at", F.col("k2").alias("member"), "member_at"))
     links = durable(_verified(pairs, d, threshold, min_words, kind))
     linked = components(links, "leader", "member")
-    classed = found.select("doc_id", "paragraph", "n_words", "key").join(linked, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
+    classed = found.select("doc_id", "paragraph", "n_words", "key").distinct().join(linked, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
     sizes = classed.groupBy("class").agg(
         F.count(F.lit(1)).alias("class_paragraphs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "paragraph")).alias("keep")
     )
@@ -185,7 +187,7 @@ def _verified(pairs: DataFrame, d: DataFrame, threshold: float, min_words: int,
             same = [i for i in range(len(text)) if k[i].tobytes() == want[i]]
             yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in same], pa.binary()), have.take(pa.array(same, pa.int64()))], ["key", "words"])
 
-    cuts = d.join(by_doc, F.col("doc_id") == F.col("needed_id")).select("text", "wanted").mapInArrow(cut, "key binary, words string").dropDuplicates(["key"])
+    cuts = d.join(few(durable(by_doc)), F.col("doc_id") == F.col("needed_id")).select("text", "wanted").mapInArrow(cut, "key binary, words string").dropDuplicates(["key"])
     cuts = durable(cuts)
     fan = pairs.groupBy(F.col("leader").alias("l")).agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("salts"))
     salted = pairs.join(fan, F.col("leader") == F.col("l")).select("leader", "member", F.expr("cast(pmod(xxhash64(member), salts) as int)").alias("salt"))
