@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import corpus_size, documents, durable, groups_for
+from parchment.llm.common import corpus_size, documents, durable, few, groups_for
 from parchment.llm.components import components
 from parchment.llm.words import Words, mixed, parts
 
@@ -18,6 +18,8 @@ from parchment.llm.words import Words, mixed, parts
 SIZE, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
 #: Entries of the table of random variates of each sample, as a power of two.
 TABLE = 15
+#: Members of a bucket in which all components meet; bands that a band is paired with for smaller buckets.
+SMALL, STEPS = 16, 4
 #: Bytes of text of one group of documents, of hashes in one range, members by one leader's text.
 GROUP, RANGE, FAN = 4 << 20, 8 << 20, 128
 
@@ -126,9 +128,11 @@ def near_duplicates(
     3. Consistent weighted samples make `bands` keys of `rows` samples. In each bucket every
        document is paired with the least one only, and the similarity of these pairs computed
        from whole texts. The leader's text is dealt to as many tasks as its members need.
-    4. Members of a bucket that are in different components after that are paired by the rare
-       part of their shingles: of two documents at the threshold, the rarest shingles that
-       make up more than (1 - threshold) of each weight share one. That loses no such pair.
+    4. Buckets that still hold several components go on: in small ones all pairs across
+       components are verified, in larger ones a drawn member of each component meets one of the
+       largest and one of a drawn component. Large buckets that hold several even then are cut by
+       pairs of bands and go through the same once more. So the pairs grow with the members of a
+       bucket, not with their square.
 
     Texts without words form one class. Null text counts as empty. Rows that repeat a doc_id are one
     document with the last of their texts; rows without doc_id are left out. An empty table gives an empty
@@ -150,26 +154,22 @@ def near_duplicates(
     )
     leaders = buckets.groupBy("band", "bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = durable(buckets.join(leaders, ["band", "bucket"]).select("band", "bucket", "doc_id", "leader", "n"))
-    star = members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct()
-    texts = base.join(profile.select(F.col("doc_id").alias("p"), "codes"), F.col("doc_id") == F.col("p")).select("doc_id", "text", "codes")
-    links = durable(_verified(star, texts, threshold, kind))
+    codes = profile.select(F.col("doc_id").alias("p"), "codes")
+    wanted = durable(members.select(F.col("doc_id").alias("p")).distinct().join(codes, "p"))
+    texts = durable(base.join(few(wanted), F.col("doc_id") == F.col("p")).select("doc_id", "text", "codes"))
+    tested = durable(members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct())
+    links = durable(_verified(tested, texts, threshold, kind))
     linked = components(links, "leader", "member")
-
-    open_ = members.where("n > 2").join(linked, F.col("doc_id") == F.col("node"), "left").select("band", "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed_ = open_.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
-    open_ = open_.join(mixed_, ["band", "bucket"])
-    who = open_.select("doc_id").distinct()
-    rare = texts.join(who, "doc_id", "left_semi").mapInArrow(_prefixes(threshold), f"doc_id {kind}, token bigint")
-    keyed = open_.join(rare, "doc_id").select("band", "bucket", "token", "doc_id", "component")
-    crowd = keyed.groupBy("band", "bucket", "token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket", "token")
-    keyed = keyed.join(crowd, ["band", "bucket", "token"])
-    x, y = keyed.alias("x"), keyed.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.token") == F.col("y.token"))
-    cross = x.join(y, same & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    cross = durable(cross.select(F.col("x.doc_id").alias("leader"), F.col("y.doc_id").alias("member")).distinct())
-    if cross.limit(1).count():
-        more = durable(_verified(cross.join(star, ["leader", "member"], "left_anti"), texts, threshold, kind))
-        links = links.unionAll(more)
+    for depth in (1, 2):
+        apart = _apart(members, linked, 2)
+        if depth == 2:
+            apart = _apart(_deeper(apart, profile, bands), linked, 1)
+        apart = durable(apart)
+        if apart.isEmpty():
+            break
+        pairs = _all_small(apart).unionAll(_drawn(apart, 2 * depth - 1)).unionAll(_drawn(apart, 2 * depth)).distinct()
+        fresh = durable(pairs.join(tested, ["leader", "member"], "left_anti"))
+        links, tested = durable(links.unionAll(_verified(fresh, texts, threshold, kind))), tested.unionAll(fresh)
         linked = components(links, "leader", "member")
 
     degree = links.select(F.col("leader").alias("d")).unionAll(links.select(F.col("member").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("links"))
@@ -183,6 +183,41 @@ def near_duplicates(
     )
 
 
+def _apart(members: DataFrame, linked: DataFrame, over: int) -> DataFrame:
+    """Members, with their components, of buckets of more than `over` that hold several components."""
+    m = members.where(F.col("n") > over).join(linked, F.col("doc_id") == F.col("node"), "left").select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = m.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
+    return m.join(several, ["band", "bucket"])
+
+
+def _deeper(apart: DataFrame, profile: DataFrame, bands: int) -> DataFrame:
+    """Buckets of two bands together, each band with the STEPS after it, for documents of large buckets that hold several components."""
+    who = apart.where(F.col("n") > SMALL).select(F.col("doc_id").alias("d")).distinct()
+    keys = F.array(*(F.xxhash64(F.lit(i), F.lit(k), F.col("bands")[i], F.col("bands")[(i + k) % bands]) for i in range(bands) for k in range(1, STEPS + 1)))
+    m = profile.join(who, F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", F.lit(-1).alias("band"), F.explode(keys).alias("bucket"))
+    n = m.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return durable(m.join(n, "bucket").select("band", "bucket", "doc_id", "n"))
+
+
+def _all_small(apart: DataFrame) -> DataFrame:
+    """All pairs across components in buckets of at most SMALL members: a bounded number for each."""
+    x, y = (apart.where(F.col("n") <= SMALL).alias(a) for a in "xy")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
+    pairs = x.join(y, same & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    return pairs.select(F.col("x.doc_id").alias("leader"), F.col("y.doc_id").alias("member")).distinct()
+
+
+def _drawn(apart: DataFrame, turn: int) -> DataFrame:
+    """In larger buckets one drawn member of each component meets that of the largest component,
+    in every second turn that of a drawn one: as many pairs as components."""
+    lot = F.xxhash64("doc_id", "band", F.lit(turn))
+    one = apart.where(F.col("n") > SMALL).groupBy("band", "bucket", "component").agg(F.min_by("doc_id", lot).alias("drawn"), F.count(F.lit(1)).alias("size"))
+    order = F.struct(F.col("size") if turn % 2 else F.lit(0).alias("size"), F.xxhash64("component", F.lit(turn)), F.col("drawn"))
+    head = one.groupBy("band", "bucket").agg(F.max_by("drawn", order).alias("head"))
+    pairs = one.join(head, ["band", "bucket"]).where("drawn <> head")
+    return pairs.select(F.least("drawn", "head").alias("leader"), F.greatest("drawn", "head").alias("member")).distinct()
+
+
 def _unique_texts(t: pa.Table) -> tuple[pa.Array, pa.Array]:
     """Ids and texts in a fixed order, the last text of an id."""
     t = t.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -313,21 +348,3 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: str) -
         return pa.table({"leader": rows.column("leader").take(pa.array(who, pa.int64())), "member": member.take(pa.array(who, pa.int64())), "similarity": pa.array(how, pa.float64())})
 
     return led.unionByName(each).groupBy("leader", "salt").applyInArrow(run, f"leader {kind}, member {kind}, similarity double")
-
-
-def _prefixes(threshold: float):
-    def run(batches):
-        for b in batches:
-            ids, out = [], []
-            for low, high in parts(b.column(1)):
-                for i, (h, w) in enumerate(_weighted(b.column(1).slice(low, high - low), b.column(2).slice(low, high - low)), low):
-                    idf = np.frombuffer(b.column(2)[i].as_buffer(), np.uint8)
-                    order = np.lexsort((h, -idf.astype(np.int16)))
-                    rest = w.sum() - np.cumsum(w[order])
-                    keep = h[order[: int(np.searchsorted(-rest, -threshold * w.sum() * (1 - 1e-9), side="right")) + 1]]
-                    ids.append(np.full(len(keep), i))
-                    out.append(keep)
-            at = pa.array(np.concatenate(ids) if ids else [], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))], ["doc_id", "token"])
-
-    return run
