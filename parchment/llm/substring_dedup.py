@@ -18,8 +18,8 @@ from parchment.llm.words import Words, mixed, parts
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Words that a paragraph has at least; shorter lines are the line operator's concern.
 MIN_WORDS = 20
-#: Members that one copy of a leader's text meets.
-FAN = 256
+#: Members that one copy of a leader's text meets; members of one side of a tile; columns of a block of a product.
+FAN, TILE, BLOCK = 256, 1024, 4096
 
 
 def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 64) -> tuple[int, int]:
@@ -118,8 +118,9 @@ def repeated_passages(
     Paragraphs with the same words are one class from the start: a passage of a third of all
     documents is one row of each task. Only one of each goes to the bands, whose numbers follow
     from the threshold and the recall asked for. Every member of a bucket meets the bucket's
-    leader, and members that stay apart from it meet each other by their leaders in other
-    buckets. Colliding pairs are verified on whole paragraphs, read again by document.
+    leader. In buckets that hold several components even then, all pairs across components are
+    verified, tile by tile, so that every pair that shares a band is compared or already
+    connected. Pairs are verified on whole paragraphs, read again by document.
 
     Null and empty texts have no paragraphs. A null doc_id is left out. Rows that repeat a
     doc_id count as one document. An empty table gives an empty result. Further columns of any
@@ -134,15 +135,19 @@ def repeated_passages(
     exact = found.groupBy("key").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
     buckets = exact.select("row", F.explode("bands").alias("bucket"))
     # rows of two numbers alone travel; the least row of a bucket leads it
-    leaders = buckets.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
+    leaders = buckets.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = durable(buckets.join(leaders, "bucket").where("row <> leader").select("leader", F.col("row").alias("member")).distinct())
     where = found.select("row", F.col("key"), F.struct("doc_id", "paragraph").alias("at"))
     ends = durable(few(met.select(F.col("leader").alias("row")).unionAll(met.select("member")).distinct()).join(where, "row"))
     pairs = met.join(ends.select(F.col("row").alias("leader"), F.col("key").alias("k1"), F.col("at").alias("leader_at")), "leader")
     pairs = pairs.join(ends.select(F.col("row").alias("member"), F.col("key").alias("k2"), F.col("at").alias("member_at")), "member")
     pairs = durable(pairs.select(F.col("k1").alias("leader"), "leader_at", F.col("k2").alias("member"), "member_at"))
-    links = durable(_verified(pairs, d, threshold, min_words, kind))
+    cuts = _cuts(pairs, d)
+    links = durable(_verified(pairs, cuts, threshold))
     linked = components(links, "leader", "member")
+    apart = durable(_apart(buckets.join(leaders.where("n > 2").select("bucket"), "bucket").join(ends.select("row", "key"), "row"), linked))
+    if not apart.isEmpty():
+        linked = components(links.unionAll(durable(_across(apart, cuts, threshold))), "leader", "member")
     classed = found.select("doc_id", "paragraph", "n_words", "key").distinct().join(linked, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
     sizes = classed.groupBy("class").agg(
         F.count(F.lit(1)).alias("class_paragraphs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "paragraph")).alias("keep")
@@ -164,12 +169,9 @@ def repeated_passages(
     )
 
 
-def _verified(pairs: DataFrame, d: DataFrame, threshold: float, min_words: int, kind: str) -> DataFrame:
-    """(leader, member) of the pairs at the threshold.
-
-    The paragraphs that the pairs need are cut from their documents, told from others by their
-    keys. A leader's paragraph is copied once for every FAN of its members.
-    """
+def _cuts(pairs: DataFrame, d: DataFrame) -> DataFrame:
+    """(key, words) of the paragraphs that the pairs need, cut from their documents and told
+    from others by their keys."""
     needed = pairs.select(F.col("leader").alias("key"), F.col("leader_at").alias("at")).unionAll(pairs.select("member", "member_at")).distinct()
     by_doc = needed.groupBy(F.col("at.doc_id").alias("needed_id")).agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), "key")).alias("wanted"))
 
@@ -188,7 +190,80 @@ def _verified(pairs: DataFrame, d: DataFrame, threshold: float, min_words: int,
             yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in same], pa.binary()), have.take(pa.array(same, pa.int64()))], ["key", "words"])
 
     cuts = d.join(few(durable(by_doc)), F.col("doc_id") == F.col("needed_id")).select("text", "wanted").mapInArrow(cut, "key binary, words string").dropDuplicates(["key"])
-    cuts = durable(cuts)
+    return durable(cuts)
+
+
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, in order."""
+    shingles, owner = Words(texts).shingles(SIZE)
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    return [np.unique(shingles[at[i] : at[i + 1]]) for i in range(len(texts))]
+
+
+def _apart(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """(bucket, key, component, tiles) of buckets that hold several components; of buckets with
+    the same members, one."""
+    m = members.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    several = m.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("all"))
+    several = several.where("low < high").groupBy("n", "all", "low", "high").agg(F.min("bucket").alias("bucket"))
+    return m.join(several.select("bucket", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "bucket")
+
+
+def _across(apart: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
+    """(leader, member): links at the threshold that connect the components of each bucket.
+
+    The members of a bucket fall into tiles, and every two tiles meet in one task. Shared
+    shingles of all pairs are a product of 0/1 matrices over the shingles that two members have.
+    """
+    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = apart.select("bucket", "key", "component", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "key", "own").join(cuts, "key")
+
+    def run(key, t):
+        t = t.combine_chunks()
+        sets = _sets(t.column("words").chunk(0))
+        n, size = len(sets), np.array([len(s) for s in sets])
+        shingles, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        at = np.flatnonzero(count > 1)
+        number = np.full(len(shingles), -1)
+        number[at] = np.arange(len(at))
+        column, row = number[column], np.repeat(np.arange(n), size)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        common = np.zeros((n, n), np.float32)
+        for low in range(0, len(at), BLOCK):
+            a, b = np.searchsorted(column, [low, low + BLOCK])
+            m = np.zeros((n, min(BLOCK, len(at) - low)), np.float32)
+            m[row[a:b], column[a:b] - low] = 1
+            common += m @ m.T
+        names = t.column("component").combine_chunks().to_pylist()
+        known = {c: i for i, c in enumerate(dict.fromkeys(names))}
+        root = list(range(len(known)))
+        of = [known[c] for c in names]
+
+        def find(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        first, second = [], []
+        for i in range(n):
+            for j in np.flatnonzero(common[i, :i] >= threshold * (size[i] + size[:i] - common[i, :i].astype(np.float64))).tolist():
+                x, y = find(of[i]), find(of[j])
+                if x != y:
+                    root[x] = y
+                    first.append(i)
+                    second.append(j)
+        keys = t.column("key")
+        return pa.table({"leader": keys.take(pa.array(first, pa.int64())), "member": keys.take(pa.array(second, pa.int64()))})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "leader binary, member binary")
+
+
+def _verified(pairs: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
+    """(leader, member) of the pairs at the threshold. A leader's paragraph is copied once for
+    every FAN of its members."""
     fan = pairs.groupBy(F.col("leader").alias("l")).agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("salts"))
     salted = pairs.join(fan, F.col("leader") == F.col("l")).select("leader", "member", F.expr("cast(pmod(xxhash64(member), salts) as int)").alias("salt"))
     led = cuts.join(fan, F.col("key") == F.col("l")).select(
@@ -198,10 +273,7 @@ def _verified(pairs: DataFrame, d: DataFrame, threshold: float, min_words: int,
 
     def verify(key, t):
         t = t.combine_chunks()
-        w = Words(t.column("words").chunk(0))
-        shingles, owner = w.shingles(SIZE)
-        at = np.searchsorted(owner, np.arange(len(t) + 1))
-        sets = [np.unique(shingles[at[i] : at[i + 1]]) for i in range(len(t))]
+        sets = _sets(t.column("words").chunk(0))
         head = np.asarray(t.column("member").is_null())
         good = []
         if head.any():

@@ -193,6 +193,25 @@ def test_passages_are_those_of_brute_force(spark, sf):
     assert passage in rest[9001] and passage not in rest[9002] and rest[9004] == d[-1][1]
 
 
+def test_passages_in_a_family_of_variants_below_the_threshold(spark):
+    r = random.Random(3)
+    base, rows = words(100, 11).split(), []
+
+    def edited(w, n, tag):
+        w = list(w)
+        for k in r.sample(range(len(w)), n):
+            w[k] = f"{tag}x{k}"
+        return w
+
+    for i in range(400):
+        v = edited(base, 2, f"v{i}")
+        rows.append((i, " ".join(v)))
+        if i % 10 == 0:
+            rows.append((10_000 - i, " ".join(edited(v, 1, f"c{i}"))))
+    got = substring_dedup.repeated_passages(docs(spark, rows))
+    assert {(x.doc_id, x.paragraph, x.keep_doc_id) for x in got.collect()} == {(a, b, c) for a, b, c, _ in brute.passage_classes(rows)}
+
+
 def test_bands_find_what_is_asked_for():
     bands, rows = substring_dedup.tuned(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
