@@ -26,7 +26,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    """Lines that repeat, alike or the same, and runs of words that repeat inside and across lines (with first_word)."""
+    d = table(spark, sf_dir, "documents")
+    return substring_dedup.repeated_passages(d).withColumn("first_word", F.lit(None).cast("int")).unionByName(substring_dedup.repeated_runs(d))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

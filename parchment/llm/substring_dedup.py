@@ -1,4 +1,5 @@
-"""Repeated passages: paragraphs that collide in a MinHash band, verified and cut by components."""
+"""Repeated passages: paragraphs that collide in a MinHash band, verified and cut by components,
+and runs of words that repeat wherever lines break."""
 
 from __future__ import annotations
 
@@ -8,16 +9,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.llm.common import documents, durable, few
 from parchment.llm.components import components
-from parchment.llm.words import Words, mixed, parts
+from parchment.llm.words import _BASE, Words, _power, mixed, parts
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Words that a paragraph has at least; shorter lines are the line operator's concern.
 MIN_WORDS = 20
+#: Words of the shortest repeated run, and of the marks that lead to it: every run of RUN words holds a mark.
+RUN, MARK = 51, 26
 #: Members that one copy of a leader's text meets; members of one side of a tile; columns of a block of a product.
 FAN, TILE, BLOCK = 256, 1024, 4096
 
@@ -288,6 +291,114 @@ def _verified(pairs: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
     return led.unionByName(each).groupBy("leader", "salt").applyInArrow(verify, "leader binary, member binary")
 
 
+def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the run of `size` words from each word on, and how many words follow it in its text."""
+    n = len(w.hash)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(w.hash * _power("up", _BASE, n), out=total[1:])
+    past = np.minimum(np.arange(n) + size, n)
+    down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
+    left = np.repeat(w.text_at[1:], np.diff(w.text_at)) - np.arange(n) - size
+    return mixed((total[past] - total[:-1]) * down[:n]), left
+
+
+def _marks(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of marks: runs of MARK words that are the least of RUN - MARK + 1
+    neighbours, so that equal runs of RUN words hold equal marks."""
+    h, left = _windows(w, MARK)
+    reach, least, span = RUN - MARK + 1, h, 1
+    while span < reach:
+        step = min(span, reach - span)
+        least, span = np.concatenate([np.minimum(least[:-step], least[step:]), least[len(least) - step :]]) if len(least) > step else least, span + step
+    # 0 stands for a window that doesn't fit into its text
+    most, span = np.where(left >= reach - 1, least, np.uint64(0)), 1
+    while span < reach:
+        step = min(span, reach - span)
+        most, span = np.concatenate([most[:step], np.maximum(most[step:], most[:-step])]) if len(most) > step else most, span + step
+    at = np.flatnonzero(most == h)
+    return at, h[at]
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Runs of more than 50 words that another document holds too, whatever lines they stand in:
+    doc_id, paragraph (line of the first word), n_words, class_id, class_paragraphs, class_docs,
+    keep_doc_id, kept, first_word (from 0).
+
+    A row is a longest stretch of a document in which every run of RUN words is also in another
+    document and first in keep_doc_id, the least doc_id that has it; kept says that this is the
+    document itself. class_id names the first RUN words; class_paragraphs and class_docs count
+    where these stand. Every repeated run of RUN words is found: equal runs hold equal marks, only
+    runs around shared marks are sent, and these are compared by 64-bit hashes of their words.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in parts(b.column(1)):
+                w = Words(b.column(1).slice(low, high - low))
+                at, h = _marks(w)
+                text = np.searchsorted(w.text_at, at, side="right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(low, high - low).take(pa.array(text)), pa.array((at - w.text_at[text]).astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "at", "mark"]
+                )
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in parts(b.column(1)):
+                w = Words(b.column(1).slice(low, high - low))
+                h, left = _windows(w, RUN)
+                wanted = b.column(2).slice(low, high - low)
+                count = np.asarray(pc.list_value_length(wanted)).astype(np.int64)
+                begin = np.repeat(w.text_at[:-1], count)
+                marks = np.asarray(wanted.flatten()).astype(np.int64) + begin
+                near = np.zeros(len(h) + 1, np.int64)
+                np.add.at(near, np.maximum(marks - (RUN - MARK), begin), 1)
+                np.add.at(near, marks + 1, -1)
+                at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= 0))
+                text = np.searchsorted(w.text_at, at, side="right") - 1
+                line = np.concatenate([[0], np.cumsum(w.data == 10)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0).slice(low, high - low).take(pa.array(text)),
+                        pa.array(keys(w)[text, 0].view(np.int64)),
+                        pa.array((at - w.text_at[text]).astype(np.int32)),
+                        pa.array((line[w.first[at]] - line[w.edge[text]]).astype(np.int32)),
+                        pa.array(h[at].view(np.int64)),
+                    ],
+                    ["doc_id", "text", "at", "line", "run"],
+                )
+
+    marks = d.mapInArrow(mark, f"doc_id {kind}, at int, mark bigint")
+    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("mark")
+    by_doc = marks.join(few(durable(shared)), "mark").groupBy(F.col("doc_id").alias("needed_id")).agg(F.collect_set("at").alias("wanted"))
+    near = d.join(few(durable(by_doc)), F.col("doc_id") == F.col("needed_id")).select("doc_id", "text", "wanted")
+    same = Window.partitionBy("run")
+    found = (
+        near.mapInArrow(runs, f"doc_id {kind}, text bigint, at int, line int, run bigint")
+        .withColumn("nth", F.dense_rank().over(same.orderBy("doc_id")))
+        .withColumns({"class_docs": F.max("nth").over(same), "class_paragraphs": F.count(F.lit(1)).over(same), "keep_doc_id": F.min("doc_id").over(same)})
+        .where("class_docs > 1")
+    )
+    order = Window.partitionBy("doc_id", "text").orderBy("at")
+    goes_on = (F.col("at") <= F.lag("at").over(order) + 1) & (F.col("keep_doc_id") == F.lag("keep_doc_id").over(order))
+    found = found.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("starts").over(order))
+    rows = found.groupBy("doc_id", "text", "stretch").agg(
+        F.min(F.struct("at", "line", "run", "class_paragraphs", "class_docs", "keep_doc_id")).alias("f"), (F.max("at") - F.min("at") + RUN).alias("n_words")
+    )
+    return rows.select(
+        "doc_id",
+        F.col("f.line").alias("paragraph"),
+        "n_words",
+        F.lower(F.hex("f.run")).alias("class_id"),
+        "f.class_paragraphs",
+        F.col("f.class_docs").cast("bigint").alias("class_docs"),
+        "f.keep_doc_id",
+        (F.col("doc_id") == F.col("f.keep_doc_id")).alias("kept"),
+        F.col("f.at").alias("first_word"),
+    )
+
+
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the text without the paragraphs that repeated_passages() did not keep."""
     lost = passages.where("NOT kept").groupBy(F.col("doc_id").alias("loser")).agg(F.collect_set("paragraph").alias("lost"))

@@ -71,3 +71,12 @@ def passage_classes(docs: list[tuple[int, str]], threshold: float = 0.8, min_wor
     for p, c in classes(sets, links).items():
         found[c].append(p)
     return {(*p, *min(ps)) for ps in found.values() if len({d for d, _ in ps}) > 1 for p in ps}
+
+
+def run_words(docs: list[tuple[int, str]], size: int = 51) -> set[tuple[int, int]]:
+    """(doc_id, number of a word) of all words in runs of `size` words that another document holds."""
+    ws, holders = {i: words(t) for i, t in docs}, defaultdict(set)
+    for i, w in ws.items():
+        for k in range(len(w) - size + 1):
+            holders[tuple(w[k : k + size])].add(i)
+    return {(i, k + j) for i, w in ws.items() for k in range(len(w) - size + 1) if len(holders[tuple(w[k : k + size])]) > 1 for j in range(size)}

@@ -212,6 +212,21 @@ def test_passages_in_a_family_of_variants_below_the_threshold(spark):
     assert {(x.doc_id, x.paragraph, x.keep_doc_id) for x in got.collect()} == {(a, b, c) for a, b, c, _ in brute.passage_classes(rows)}
 
 
+def test_runs_inside_and_across_lines_are_those_of_brute_force(spark, sf):
+    d = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    w = words(51, 43).split()
+    wrapped = "\n".join(" ".join(w[k : k + 9]) for k in range(0, 51, 9))
+    d += [(9001, words(70, 5) + " " + " ".join(w) + " " + words(40, 6)), (9002, words(30, 7) + "\n" + wrapped + "\n" + words(8, 8)), (9003, " ".join(w[:50]))]
+    d += [(9004, words(20, 9) + "\n" + wrapped.upper())]
+    got = substring_dedup.repeated_runs(docs(spark, d)).collect()
+    assert {(r.doc_id, k) for r in got for k in range(r.first_word, r.first_word + r.n_words)} == brute.run_words(d)
+    assert {(r.doc_id, r.paragraph, r.first_word, r.n_words, r.keep_doc_id, r.kept, r.class_docs) for r in got if r.doc_id > 9000} == {
+        (9001, 0, 70, 51, 9001, True, 3),
+        (9002, 1, 30, 51, 9001, False, 3),
+        (9004, 1, 20, 51, 9001, False, 3),
+    }
+
+
 def test_bands_find_what_is_asked_for():
     bands, rows = substring_dedup.tuned(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
