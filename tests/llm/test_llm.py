@@ -99,6 +99,27 @@ def test_a_large_group_of_near_copies(spark):
     assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs(spark, rows)).collect()} == want
 
 
+def test_near_copies_in_a_family_of_variants_below_the_threshold(spark):
+    base, r, rows = words(200, 15).split(), random.Random(21), []
+
+    def edited(w, n, tag):
+        w = list(w)
+        for k in r.sample(range(len(w)), n):
+            w[k] = f"{tag}x{k}"
+        return w
+
+    for i in range(400):
+        v = edited(base, 3, f"v{i}")
+        rows.append((i, " ".join(v)))
+        if i % 4 == 0:
+            rows.append((10_000 - i, " ".join(edited(v, 2, f"c{i}"))))
+    want, sims = brute.near_classes(rows)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    planted = [(i, 10_000 - i) for i in range(0, 400, 4) if sims[i, 10_000 - i] >= 0.8]
+    assert len(planted) > 50 and [p for p in planted if got[p[0]] != got[p[1]]] == []
+    assert got == want
+
+
 def test_samples_draw_weighted_jaccard():
     r = np.random.default_rng(4)
     h = r.integers(1, 2**63, 400, dtype=np.uint64)
