@@ -7,19 +7,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import corpus_size, documents, durable, few, groups_for
 from parchment.llm.components import components
+from parchment.llm.tiles import Forest, meetings, products
 from parchment.llm.words import Words, mixed, parts
 
 #: Words of a shingle; bands and samples of a band; least similarity.
 SIZE, BANDS, ROWS, THRESHOLD = 5, 16, 4, 0.8
 #: Entries of the table of random variates of each sample, as a power of two.
 TABLE = 15
-#: Members of a bucket whose pairs are formed one by one; of one side of a tile in larger ones; columns of a block of a product.
-SMALL, TILE, BLOCK = 16, 512, 4096
 #: Bytes of text of one group of documents, of hashes in one range, members by one leader's text.
 GROUP, RANGE, FAN = 4 << 20, 8 << 20, 128
 
@@ -128,11 +127,9 @@ def near_duplicates(
     3. Consistent weighted samples make `bands` keys of `rows` samples. In each bucket every
        document is paired with the least one only, and the similarity of these pairs computed
        from whole texts. The leader's text is dealt to as many tasks as its members need.
-    4. Buckets that still hold several components go on: in small ones all pairs across
-       components are verified, in larger ones a drawn member of each component meets one of the
-       largest and one of a drawn component. In large buckets that hold several even then, tiles
-       of members meet, all but those of one component, and all pairs across components are
-       compared. So every pair that shares a band is verified or already connected.
+    4. Buckets that still hold several components go on: all pairs across their components are
+       compared, tile by tile (tiles.meetings). So every pair that shares a band is verified or
+       already connected.
 
     Texts without words form one class. Null text counts as empty. Rows that repeat a doc_id are one
     document with the last of their texts; rows without doc_id are left out. An empty table gives an empty
@@ -149,28 +146,22 @@ def near_duplicates(
     reps = durable(first)
     buckets = (
         profile.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        .select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-        .dropDuplicates(["doc_id", "band", "bucket"])
+        .select("doc_id", F.explode(F.array_distinct("bands")).alias("bucket"))
     )
-    leaders = buckets.groupBy("band", "bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = durable(buckets.join(leaders, ["band", "bucket"]).select("band", "bucket", "doc_id", "leader", "n"))
+    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = durable(buckets.join(leaders, "bucket").select("bucket", "doc_id", "leader", "n"))
     codes = profile.select(F.col("doc_id").alias("p"), "codes")
     wanted = durable(members.select(F.col("doc_id").alias("p")).distinct().join(codes, "p"))
     texts = durable(base.join(few(wanted), F.col("doc_id") == F.col("p")).select("doc_id", "text", "codes"))
-    tested = durable(members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct())
-    links = durable(_verified(tested, texts, threshold, kind))
+    tested = members.where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct()
+    links = durable(_verified(durable(tested), texts, threshold, kind))
     linked = components(links, "leader", "member")
-    apart = durable(_apart(members, linked, 2))
+    # a bucket of two has met; larger ones may hold components that their leader did not connect
+    apart = durable(meetings(members.where("n > 2").select("bucket", F.col("doc_id").alias("node")), linked))
     if not apart.isEmpty():
-        pairs = _all_small(apart).unionAll(_drawn(apart, 1)).unionAll(_drawn(apart, 2)).distinct()
-        fresh = durable(pairs.join(tested, ["leader", "member"], "left_anti"))
-        links = durable(links.unionAll(_verified(fresh, texts, threshold, kind)))
+        across = _across(apart, texts, threshold, kind).dropDuplicates(["leader", "member"])
+        links = durable(links.unionAll(across.join(links, ["leader", "member"], "left_anti")))
         linked = components(links, "leader", "member")
-        apart = durable(_apart(apart.drop("component"), linked, SMALL))
-        if not apart.isEmpty():
-            across = _across(apart, texts, threshold, kind).dropDuplicates(["leader", "member"])
-            links = durable(links.unionAll(across.join(links, ["leader", "member"], "left_anti")))
-            linked = components(links, "leader", "member")
 
     degree = links.select(F.col("leader").alias("d")).unionAll(links.select(F.col("member").alias("d"))).groupBy("d").agg(F.count(F.lit(1)).alias("links"))
     classes = reps.join(linked, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class_id"), "copies")
@@ -183,89 +174,31 @@ def near_duplicates(
     )
 
 
-def _apart(members: DataFrame, linked: DataFrame, over: int) -> DataFrame:
-    """Members, with their components, of buckets of more than `over` that hold several components."""
-    m = members.where(F.col("n") > over).join(linked, F.col("doc_id") == F.col("node"), "left").select("band", "bucket", "n", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = m.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "bucket")
-    return m.join(several, ["band", "bucket"])
-
-
-def _all_small(apart: DataFrame) -> DataFrame:
-    """All pairs across components in buckets of at most SMALL members: a bounded number for each."""
-    x, y = (apart.where(F.col("n") <= SMALL).alias(a) for a in "xy")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
-    pairs = x.join(y, same & (F.col("x.component") != F.col("y.component")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return pairs.select(F.col("x.doc_id").alias("leader"), F.col("y.doc_id").alias("member")).distinct()
-
-
-def _drawn(apart: DataFrame, turn: int) -> DataFrame:
-    """In larger buckets one drawn member of each component meets that of the largest component,
-    in every second turn that of a drawn one: as many pairs as components."""
-    lot = F.xxhash64("doc_id", "band", F.lit(turn))
-    one = apart.where(F.col("n") > SMALL).groupBy("band", "bucket", "component").agg(F.min_by("doc_id", lot).alias("drawn"), F.count(F.lit(1)).alias("size"))
-    order = F.struct(F.col("size") if turn % 2 else F.lit(0).alias("size"), F.xxhash64("component", F.lit(turn)), F.col("drawn"))
-    head = one.groupBy("band", "bucket").agg(F.max_by("drawn", order).alias("head"))
-    pairs = one.join(head, ["band", "bucket"]).where("drawn <> head")
-    return pairs.select(F.least("drawn", "head").alias("leader"), F.greatest("drawn", "head").alias("member")).distinct()
-
-
 def _across(apart: DataFrame, texts: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(leader, member, similarity): links at the threshold that connect the components of each bucket.
-
-    Of buckets with the same members one is taken. Members in order of component fall into tiles;
-    two tiles meet in one task unless both lie in the same component. A product of matrices over
-    the shingles that two members have finds the candidates, similarity() decides.
-    """
-    same = apart.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("all"), F.min("doc_id").alias("low"))
-    one = same.groupBy("n", "all", "low").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket")
-    place = F.row_number().over(Window.partitionBy("band", "bucket").orderBy("component", "doc_id"))
-    m = durable(apart.join(one, ["band", "bucket"]).select("band", "bucket", "doc_id", "component", F.floor((place - 1) / F.lit(TILE)).cast("int").alias("tile")))
-    tiles = m.groupBy("band", "bucket", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    x, y = tiles.toDF("band", "bucket", "x", "low_x", "high_x"), tiles.toDF("band", "bucket", "y", "low_y", "high_y")
-    meet = x.join(y, ["band", "bucket"]).where("x <= y AND (low_x <> high_x OR low_y <> high_y OR low_x <> low_y)").select("band", "bucket", "x", "y")
-    sides = meet.withColumn("tile", F.explode(F.array_distinct(F.array("x", "y"))))
-    dealt = m.join(sides, ["band", "bucket", "tile"]).join(texts, "doc_id").select("band", "bucket", "x", "y", "doc_id", "component", "text", "codes")
+    """(leader, member, similarity): links at the threshold that connect the components of each
+    bucket. A product of matrices over the shingles that two members have finds the candidates,
+    similarity() decides."""
+    dealt = apart.join(texts.withColumnRenamed("doc_id", "node"), "node")
 
     def run(key, t):
-        t = t.sort_by("doc_id").combine_chunks()
-        ids, names = t.column("doc_id"), t.column("component").to_pylist()
+        t = t.sort_by("node").combine_chunks()
+        ids = t.column("node")
         vectors = _weighted(t.column("text").chunk(0), t.column("codes").chunk(0))
-        n, size, total = len(vectors), [len(h) for h, _ in vectors], np.array([w.sum() for _, w in vectors])
-        shingles, column, count = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True, return_counts=True)
-        weight, row = np.concatenate([w for _, w in vectors]), np.repeat(np.arange(n), size)
+        total = np.array([w.sum() for _, w in vectors])
         # the root of the product bounds the minimum from above, so no pair is lost
-        at = np.flatnonzero(count > 1)
-        number = np.full(len(shingles), -1)
-        number[at] = np.arange(len(at))
-        column = number[column]
-        order = np.argsort(column, kind="stable")
-        column, row, weight = column[order], row[order], np.sqrt(weight[order])
-        common = np.zeros((n, n))
-        for low in range(0, len(at), BLOCK):
-            a, b = np.searchsorted(column, [low, low + BLOCK])
-            v = np.zeros((n, min(BLOCK, len(at) - low)), np.float32)
-            v[row[a:b], column[a:b] - low] = weight[a:b]
-            common += v @ v.T
-        known = {c: i for i, c in enumerate(dict.fromkeys(names))}
-        root, of = list(range(len(known))), [known[c] for c in names]
-
-        def find(i):
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        first, second, how = [], [], []
-        for i in range(n):
-            for j in np.flatnonzero(common[i, :i] * (1 + threshold) >= threshold * (total[i] + total[:i]) * (1 - 1e-4)).tolist():
-                p, q = find(of[i]), find(of[j])
-                if p != q and (s := similarity(vectors[j], vectors[i])) >= threshold:
-                    root[p] = q
-                    first.append(j)
-                    second.append(i)
-                    how.append(s)
-        return pa.table({"leader": ids.take(pa.array(first, pa.int64())), "member": ids.take(pa.array(second, pa.int64())), "similarity": pa.array(how, pa.float64())})
+        common = products([(h, np.sqrt(w)) for h, w in vectors])
+        likely = common * (1 + threshold) >= threshold * (total[:, None] + total) * (1 - 1e-4)
+        how = {}
+
+        def sure(j, i):
+            how[j, i] = similarity(vectors[j], vectors[i])
+            return how[j, i] >= threshold
+
+        found = Forest(t.column("component").to_pylist()).links(likely, sure)
+        first, second = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+        return pa.table({"leader": ids.take(first), "member": ids.take(second), "similarity": pa.array([how[p] for p in found], pa.float64())})
 
-    return dealt.groupBy("band", "bucket", "x", "y").applyInArrow(run, f"leader {kind}, member {kind}, similarity double")
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, f"leader {kind}, member {kind}, similarity double")
 
 
 def _unique_texts(t: pa.Table) -> tuple[pa.Array, pa.Array]:
