@@ -1,28 +1,33 @@
-"""Repeated passages: paragraphs that collide in a MinHash band, verified and cut by components,
-and runs of words that repeat wherever lines break."""
+"""Repeated passages: paragraphs that collide in a MinHash band, verified and cut by components.
+
+Paragraphs are lines and, for passages that start and end inside lines or go over several, windows
+of words that the text itself selects."""
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import documents, durable, few
+from parchment.llm.common import corpus_size, documents, durable, few, groups_for
 from parchment.llm.components import components
+from parchment.llm.tiles import Forest, meetings, products
 from parchment.llm.words import _BASE, Words, _power, mixed, parts
 
 SIZE, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Words that a paragraph has at least; shorter lines are the line operator's concern.
+#: Words that a line has at least to be a paragraph; shorter lines are parts of windows.
 MIN_WORDS = 20
-#: Words of the shortest repeated run, and of the marks that lead to it: every run of RUN words holds a mark.
-RUN, MARK = 51, 26
-#: Members that one copy of a leader's text meets; members of one side of a tile; columns of a block of a product.
-FAN, TILE, BLOCK = 256, 1024, 4096
+#: Words of the shortest run that is certain to be found, and of a window: every run of RUN words holds a whole window.
+RUN, WINDOW = 51, 26
+#: Bands and rows of a band for windows. What they are for, equal runs, meets in any band; lines have bands for alike ones.
+WINDOW_BANDS = (1, 4)
+#: Units that a task combines before it sends them; bytes sent to one range of bands; keys of one row.
+FLUSH, RANGE, CHUNK = 1 << 20, 4 << 20, 4096
 
 
 def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 64) -> tuple[int, int]:
@@ -34,74 +39,190 @@ def tuned(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 64)
         if bands * rows <= most:
             grid = np.linspace(0, threshold, 101)
             chance = float((1 - (1 - grid**rows) ** bands).mean())
-            # a band costs a shuffled row for every paragraph, a chance meeting a verified pair
-            cost = chance + 0.05 * bands
+            # a band costs a sent number for every paragraph, a chance meeting a verified pair
+            cost = chance + 0.02 * bands
             best = min(best or (cost, bands, rows), (cost, bands, rows))
     return best[1], best[2]
 
 
-def lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Every line of some texts, the number of its text and its number in the text."""
-    split = pc.split_pattern(texts, "\n")
-    flat = split.flatten()
-    count = np.asarray(pc.list_value_length(split)).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), count)
-    return flat, text, np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-
-
-def keys(w: Words) -> np.ndarray:
-    """128-bit hashes of each text's words in order, as uint64[texts, 2]."""
-    count = np.diff(w.text_at)
-    place = (np.arange(len(w.hash)) - np.repeat(w.text_at[:-1], count)).astype(np.uint64)
-    out = np.zeros((len(count), 2), np.uint64)
-    for c, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed(w.hash ^ mixed(place * np.uint64(2) + np.uint64(c) ^ np.uint64(salt))))])
-        out[:, c] = total[w.text_at[1:]] - total[w.text_at[:-1]] + count.astype(np.uint64)
-    return out
-
-
-def minima(shingles: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
-    """uint64[count, sets]: the least hash of each set under `count` hash functions."""
+def minima(shingles: np.ndarray, first: np.ndarray, past: np.ndarray, count: int) -> np.ndarray:
+    """uint64[count, sets]: the least hash of each set shingles[first:past] under `count` hash functions."""
     seeds = np.random.default_rng(19970611).integers(1, 2**63, (count, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.empty((count, len(starts)), np.uint64)
+    out = np.empty((count, len(first)), np.uint64)
+    ends = np.stack([first, past], 1).ravel()
+    padded = np.append(shingles, np.uint64(0))
     for k in range(count):
         # the product's upper half orders the shingles; a multiply-shift on mixed bits
-        h = shingles * seeds[k, 0]
+        h = padded * seeds[k, 0]
         h ^= h >> np.uint64(32)
         h *= seeds[k, 1]
-        out[k] = np.minimum.reduceat(h, starts)
+        out[k] = np.minimum.reduceat(h, ends)[::2] if len(first) else 0
     return out
 
 
-def _profiles(bands: int, rows: int, min_words: int):
+class Units:
+    """The paragraphs of some texts: first and past word, line of the first word, whether it is a
+    line (or a window), text, key (hash of the words and the kind); and the shingle at each word."""
+
+    def __init__(self, texts: pa.Array, min_words: int):
+        w = self.words = Words(texts)
+        self.total = np.zeros(len(w.hash) + 1, np.uint64)
+        np.cumsum(w.hash * _power("up", _BASE, len(w.hash)), out=self.total[1:])
+        text = np.repeat(np.arange(len(texts)), np.diff(w.text_at))
+        newline = np.cumsum(w.data == 10)
+        line = newline[w.first] if len(w.first) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])) if len(line) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(line))
+        long = ends - cut >= max(min_words, SIZE)
+        at = self._windows(text)
+        self.first = np.concatenate([cut[long], at])
+        self.past = np.concatenate([ends[long], at + WINDOW])
+        self.is_line = np.arange(len(self.first)) < long.sum()
+        self.text = text[self.first]
+        before = np.concatenate([[0], newline])[w.edge[self.text]]
+        self.line = line[self.first] - before
+        self.key = mixed(self.hashes(self.first, self.past) + self.is_line.astype(np.uint64))
+        self.shingle = self.hashes(np.arange(len(w.hash)), np.minimum(np.arange(len(w.hash)) + SIZE, len(w.hash)))
+
+    def hashes(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
+        """64-bit hashes of runs of words, equal for equal words wherever they stand."""
+        down = _power("down", pow(_BASE, -1, 1 << 64), len(self.total))
+        return mixed((self.total[past] - self.total[first]) * down[first] + (past - first).astype(np.uint64))
+
+    def _windows(self, text: np.ndarray) -> np.ndarray:
+        """First words of the windows whose hash is least of RUN - WINDOW + 1 neighbours', so that
+        equal runs of RUN words hold equal windows."""
+        n = len(text)
+        left = self.words.text_at[1:][text] - np.arange(n) - WINDOW if n else np.zeros(0, np.int64)
+        h = self.hashes(np.arange(n), np.minimum(np.arange(n) + WINDOW, n))
+        reach, least, span = RUN - WINDOW + 1, h, 1
+        while span < reach:
+            step = min(span, reach - span)
+            least, span = np.concatenate([np.minimum(least[:-step], least[step:]), least[len(least) - step :]]) if len(least) > step else least, span + step
+        # 0 stands for a neighbourhood that doesn't fit into its text
+        most, span = np.where(left >= reach - 1, least, np.uint64(0)), 1
+        while span < reach:
+            step = min(span, reach - span)
+            most, span = np.concatenate([most[:step], np.maximum(most[step:], most[:-step])]) if len(most) > step else most, span + step
+        return np.flatnonzero(most == h)
+
+    def bands(self, which: np.ndarray, bands: int, rows: int, name: int) -> np.ndarray:
+        """uint64[units, bands] of the units `which`; `name` tells schemes apart."""
+        drawn = minima(self.shingle, self.first[which], self.past[which] - SIZE + 1, bands * rows)
+        out = np.empty((len(which), bands), np.uint64)
+        for band in range(bands):
+            total = np.full(len(which), 2 * band + name, np.uint64)
+            for k in range(band * rows, (band + 1) * rows):
+                total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + drawn[k])
+            out[:, band] = total
+        return out
+
+    def set_of(self, i: int) -> np.ndarray:
+        return np.unique(self.shingle[self.first[i] : self.past[i] - SIZE + 1])
+
+
+def _longs(a: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(a).view(np.int64))
+
+
+def _lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.append(starts, len(values)).astype(np.int32), _longs(values))
+
+
+def _entries(schemes: list[tuple[int, int]], ranges: int, min_words: int):
+    """(part, bucket, key, several): the bands of a task's distinct paragraphs, by band and range
+    of the hash space; several says that two texts of the task hold the paragraph."""
+
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for name, (bands, _) in enumerate(schemes):
+            key, text, band = (np.concatenate([x[name][k] for x in held]) for k in range(3))
+            order = np.lexsort((text, key))
+            key, text, band = key[order], text[order], band[order]
+            one = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+            last = np.append(one[1:], len(key)) - 1
+            several = text[one] != text[last] if len(key) else np.zeros(0, bool)
+            for b in range(bands):
+                bucket = band[one, b]
+                part = (bucket >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                by = np.argsort(part, kind="stable")
+                part = part[by]
+                cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+                offsets = pa.array(np.append(cut, len(part)).astype(np.int32))
+                flags = pa.ListArray.from_arrays(offsets, pa.array(several[by]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((part[cut] + np.uint64((at + b) * ranges)).astype(np.int64)), _lists(bucket[by], cut), _lists(key[one][by], cut), flags], ["part", "bucket", "key", "several"]
+                )
+            at += bands
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, 0
+        for b in batches:
+            for low, high in parts(b.column(0)):
+                u = Units(b.column(0).slice(low, high - low), min_words)
+                each = []
+                for name, (bands, rows) in enumerate(schemes):
+                    which = np.flatnonzero(u.is_line == (name == 1))
+                    each.append((u.key[which], u.text[which] + seen, u.bands(which, bands, rows, name)))
+                held.append(each)
+                seen, size = seen + high - low, size + len(u.first)
+                if size >= FLUSH:
+                    yield from packed(held)
+                    held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    return run
+
+
+def _met(heads: set[int], ranges: int):
+    """Of one range of one band: the buckets with several paragraphs, (bucket, leader, keys), and,
+    for each scheme's first band, the paragraphs that several texts hold: (null, null, keys)."""
+
+    def run(key, t):
+        t = t.combine_chunks()
+        bucket, keys = (np.asarray(t.column(c).combine_chunks().flatten()).view(np.uint64) for c in ("bucket", "key"))
+        several = np.asarray(t.column("several").combine_chunks().flatten())
+        order = np.lexsort((keys, bucket))
+        bucket, keys, several = bucket[order], keys[order], several[order]
+        one = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (keys[1:] != keys[:-1])]))
+        count = np.diff(np.append(one, len(keys)))
+        held = np.logical_or.reduceat(several, one) | (count > 1)
+        bucket, keys = bucket[one], keys[one]
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(start, len(bucket)))
+        place = np.arange(len(bucket)) - np.repeat(start, size)
+        many = np.repeat(size > 1, size)
+        lead = keys[np.repeat(start, size)][many]
+        rows = np.flatnonzero(place[many] % CHUNK == 0)
+        found = pa.table({"bucket": _longs(bucket[many][rows]), "leader": _longs(lead[rows]), "keys": _lists(keys[many], rows)})
+        if key[0].as_py() // ranges not in heads:
+            return found
+        again = keys[held]
+        cut = np.arange(0, len(again), CHUNK)
+        none = pa.nulls(len(cut), pa.int64())
+        return pa.concat_tables([found, pa.table({"bucket": none, "leader": none, "keys": _lists(again, cut)})])
+
+    return run
+
+
+def _members(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high in parts(b.column(1)):
-                flat, text, number = lines(b.column(1).slice(low, high - low))
-                w = Words(flat)
-                long = np.flatnonzero(np.diff(w.text_at) >= min_words)
-                if not len(long):
-                    continue
-                key = keys(w)[long]
-                shingles, owner = w.shingles(SIZE)
-                keep = np.isin(owner, long)
-                shingles, owner = shingles[keep], owner[keep]
-                drawn = minima(shingles, np.searchsorted(owner, long), bands * rows)
-                names = np.empty((len(long), bands), np.int64)
-                for band in range(bands):
-                    total = np.full(len(long), band + 1, np.uint64)
-                    for k in range(band * rows, (band + 1) * rows):
-                        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + drawn[k])
-                    names[:, band] = total.view(np.int64)
+                u = Units(b.column(1).slice(low, high - low), min_words)
+                w = u.words
+                begin = w.text_at[u.text]
+                whole = u.hashes(w.text_at[:-1], w.text_at[1:])[u.text] if len(w.hash) else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(low, high - low).take(pa.array(text[long])),
-                        pa.array(number[long].astype(np.int32)),
-                        pa.array(np.diff(w.text_at)[long].astype(np.int32)),
-                        pa.array([k.tobytes() for k in key], pa.binary()),
-                        pa.ListArray.from_arrays(np.arange(0, len(long) * bands + 1, bands, dtype=np.int32), pa.array(names.ravel())),
+                        b.column(0).slice(low, high - low).take(pa.array(u.text)),
+                        _longs(whole),
+                        *(pa.array(x.astype(np.int32)) for x in (u.first - begin, u.past - begin, u.line)),
+                        pa.array(u.is_line),
+                        _longs(u.key),
                     ],
-                    ["doc_id", "paragraph", "n_words", "key", "bands"],
+                    ["doc_id", "of", "first", "past", "line", "is_line", "key"],
                 )
 
     return run
@@ -110,299 +231,204 @@ def _profiles(bands: int, rows: int, min_words: int):
 def repeated_passages(
     docs: DataFrame, threshold: float = THRESHOLD, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per paragraph that repeats in another document: doc_id, paragraph (line number
-    from 0), n_words, class_id, class_paragraphs, class_docs, keep_doc_id, kept.
+    """One row per passage that repeats in another document: doc_id, paragraph (line number from 0
+    of its first word), n_words, class_id, class_paragraphs, class_docs, keep_doc_id, kept,
+    first_word (from 0), kind (line or run).
 
     Paragraphs are the lines of a text with at least `min_words` words (lower case, letters and
-    digits). Two are linked if the Jaccard similarity of their runs of five words is at least
+    digits) and windows of WINDOW words across line breaks, selected by their own hashes so that
+    every run of RUN words holds a whole window and equal runs hold equal ones. Two paragraphs of
+    a kind are linked if the Jaccard similarity of their runs of five words is at least
     `threshold`; a class is a connected component of links with at least two documents. Its
-    first paragraph, by doc_id and line, stays, the others are removals. class_id is its key.
+    first paragraph, by doc_id and place, stays, the others are removals. class_id is its key.
 
-    Paragraphs with the same words are one class from the start: a passage of a third of all
-    documents is one row of each task. Only one of each goes to the bands, whose numbers follow
-    from the threshold and the recall asked for. Every member of a bucket meets the bucket's
-    leader. In buckets that hold several components even then, all pairs across components are
-    verified, tile by tile, so that every pair that shares a band is compared or already
-    connected. Pairs are verified on whole paragraphs, read again by document.
+    A line of a class is a row. Windows of classes that touch and share their keep_doc_id are one
+    row, the run of words that they cover. Where touching windows cover less than RUN words, they
+    count only if a run of RUN words around them is the same in another document.
+
+    1. Each task sends the bands of its distinct paragraphs, packed by band and range: a passage
+       of a third of all documents is one number for each task. The bands of lines follow from
+       the threshold and the recall asked for.
+    2. Paragraphs that meet or repeat are looked up in the documents again.
+    3. Every member of a bucket meets the bucket's leader. In buckets that hold several
+       components even then, all pairs across components are compared, tile by tile, so that every
+       pair that shares a band is compared or already connected. Similarities are exact.
 
     Null and empty texts have no paragraphs. A null doc_id is left out. Rows that repeat a
     doc_id count as one document. An empty table gives an empty result. Further columns of any
-    name are ignored. State between the steps is checkpointed.
+    name are ignored. A very long line is one paragraph, a very long text has many. State between
+    the steps is checkpointed. Keys are 64-bit hashes of the words.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    bands, rows = tuned(threshold)
+    schemes = [WINDOW_BANDS, tuned(threshold)]
     d = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
-    found = durable(
-        d.mapInArrow(_profiles(bands, rows, min_words), f"doc_id {kind}, paragraph int, n_words int, key binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
-    )
-    exact = found.groupBy("key").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    buckets = exact.select("row", F.explode("bands").alias("bucket"))
-    # rows of two numbers alone travel; the least row of a bucket leads it
-    leaders = buckets.groupBy("bucket").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = durable(buckets.join(leaders, "bucket").where("row <> leader").select("leader", F.col("row").alias("member")).distinct())
-    where = found.select("row", F.col("key"), F.struct("doc_id", "paragraph").alias("at"))
-    ends = durable(few(met.select(F.col("leader").alias("row")).unionAll(met.select("member")).distinct()).join(where, "row"))
-    pairs = met.join(ends.select(F.col("row").alias("leader"), F.col("key").alias("k1"), F.col("at").alias("leader_at")), "leader")
-    pairs = pairs.join(ends.select(F.col("row").alias("member"), F.col("key").alias("k2"), F.col("at").alias("member_at")), "member")
-    pairs = durable(pairs.select(F.col("k1").alias("leader"), "leader_at", F.col("k2").alias("member"), "member_at"))
-    cuts = _cuts(pairs, d)
-    links = durable(_verified(pairs, cuts, threshold))
+    _, size = corpus_size(d)
+    # about 0.7 bytes are sent for a byte of text; a task's share of a range stays worth a row
+    ranges = groups_for(size, max(RANGE, 8 * math.isqrt(size)))
+    sent = d.select("text").mapInArrow(_entries(schemes, ranges, min_words), "part bigint, bucket array<bigint>, key array<bigint>, several array<boolean>")
+    met = durable(sent.groupBy("part").applyInArrow(_met({0, schemes[0][0]}, ranges), "bucket bigint, leader bigint, keys array<bigint>"))
+    found = d.mapInArrow(_members(min_words), f"doc_id {kind}, of bigint, first int, past int, line int, is_line boolean, key bigint")
+    members = durable(found.join(met.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi"))
+
+    buckets = met.where("leader IS NOT NULL").select("bucket", "leader", F.explode("keys").alias("node"))
+    edges = durable(buckets.where("leader <> node").select("leader", F.col("node").alias("member")).distinct())
+    sets = _sets(edges, members, d, min_words)
+    links = durable(_verified(edges, sets, threshold))
     linked = components(links, "leader", "member")
-    apart = durable(_apart(buckets.join(leaders.where("n > 2").select("bucket"), "bucket").join(ends.select("row", "key"), "row"), linked))
+    several = met.where("leader IS NOT NULL").groupBy("bucket").agg(F.sum(F.size("keys")).alias("n")).where("n > 2")
+    apart = durable(meetings(buckets.join(several, "bucket", "left_semi").select("bucket", "node"), linked))
     if not apart.isEmpty():
-        linked = components(links.unionAll(durable(_across(apart, cuts, threshold))), "leader", "member")
-    classed = found.select("doc_id", "paragraph", "n_words", "key").distinct().join(linked, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key"))
-    sizes = classed.groupBy("class").agg(
-        F.count(F.lit(1)).alias("class_paragraphs"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "paragraph")).alias("keep")
-    )
-    sizes = sizes.where("low <> high")
-    docs_in = classed.join(sizes.select("class"), "class", "left_semi").groupBy("class").agg(F.count_distinct("doc_id").alias("class_docs"))
-    return (
-        classed.join(sizes.join(docs_in, "class"), "class")
-        .select(
-            "doc_id",
-            "paragraph",
-            "n_words",
-            F.lower(F.hex("class")).alias("class_id"),
-            "class_paragraphs",
-            "class_docs",
-            F.col("keep.doc_id").alias("keep_doc_id"),
-            ((F.col("doc_id") == F.col("keep.doc_id")) & (F.col("paragraph") == F.col("keep.paragraph"))).alias("kept"),
-        )
-    )
+        linked = components(links.unionAll(durable(_across(apart, sets, threshold))), "leader", "member")
 
-
-def _cuts(pairs: DataFrame, d: DataFrame) -> DataFrame:
-    """(key, words) of the paragraphs that the pairs need, cut from their documents and told
-    from others by their keys."""
-    needed = pairs.select(F.col("leader").alias("key"), F.col("leader_at").alias("at")).unionAll(pairs.select("member", "member_at")).distinct()
-    by_doc = needed.groupBy(F.col("at.doc_id").alias("needed_id")).agg(F.collect_list(F.struct(F.col("at.paragraph").alias("paragraph"), "key")).alias("wanted"))
+    classed = members.join(linked, F.col("key") == F.col("node"), "left").withColumn("class", F.coalesce("component", "key")).drop("node", "component")
+    each = classed.groupBy("class", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line", "first")).alias("at"))
+    classes = each.groupBy("class").agg(
+        F.sum("n").alias("class_paragraphs"), F.count(F.lit(1)).alias("class_docs"), F.min(F.struct("doc_id", "at")).alias("keep")
+    )
+    rows = durable(_stretches(classed.join(classes.where("class_docs > 1"), "class").drop("key")))
+    out = [
+        "doc_id",
+        F.col("line").alias("paragraph"),
+        "n_words",
+        F.lower(F.hex("class")).alias("class_id"),
+        "class_paragraphs",
+        "class_docs",
+        F.col("keep.doc_id").alias("keep_doc_id"),
+        "kept",
+        F.col("first").alias("first_word"),
+    ]
+    is_first = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("line") == F.col("keep.at.line")) & (F.col("first") == F.col("keep.at.first"))
+    lines = rows.where("is_line").withColumns({"n_words": F.col("past") - F.col("first"), "kept": is_first}).select(*out, F.lit("line").alias("kind"))
+    runs = _runs(rows.where("NOT is_line"), d, kind).withColumn("kept", F.col("doc_id") == F.col("keep.doc_id"))
+    return lines.unionByName(runs.select(*out, F.lit("run").alias("kind")))
+
+
+def _sets(edges: DataFrame, members: DataFrame, d: DataFrame, min_words: int) -> DataFrame:
+    """(key, shingles) of the paragraphs that edges name, cut from one document of each."""
+    ends = edges.select(F.col("leader").alias("key")).unionAll(edges.select("member")).distinct()
+    one = members.join(ends, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("needed_id"))
+    by_doc = durable(one.groupBy("needed_id").agg(F.collect_list("key").alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, number, want = [], [], []
-            for t, w in zip(b.column(0), b.column(1), strict=True):
-                split = t.as_py().split("\n")
-                for x in w.as_py():
-                    if x["paragraph"] < len(split):
-                        text.append(split[x["paragraph"]])
-                        want.append(x["key"])
-            have = pa.array(text, pa.string())
-            k = keys(Words(have)) if len(text) else []
-            same = [i for i in range(len(text)) if k[i].tobytes() == want[i]]
-            yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in same], pa.binary()), have.take(pa.array(same, pa.int64()))], ["key", "words"])
-
-    cuts = d.join(few(durable(by_doc)), F.col("doc_id") == F.col("needed_id")).select("text", "wanted").mapInArrow(cut, "key binary, words string").dropDuplicates(["key"])
-    return durable(cuts)
-
-
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    """The distinct shingles of each text, in order."""
-    shingles, owner = Words(texts).shingles(SIZE)
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return [np.unique(shingles[at[i] : at[i + 1]]) for i in range(len(texts))]
-
-
-def _apart(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """(bucket, key, component, tiles) of buckets that hold several components; of buckets with
-    the same members, one."""
-    m = members.join(linked, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    several = m.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("all"))
-    several = several.where("low < high").groupBy("n", "all", "low", "high").agg(F.min("bucket").alias("bucket"))
-    return m.join(several.select("bucket", F.ceil(F.col("n") / F.lit(TILE)).cast("int").alias("tiles")), "bucket")
-
-
-def _across(apart: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
-    """(leader, member): links at the threshold that connect the components of each bucket.
-
-    The members of a bucket fall into tiles, and every two tiles meet in one task. Shared
-    shingles of all pairs are a product of 0/1 matrices over the shingles that two members have.
-    """
-    own = F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = apart.select("bucket", "key", "component", own.alias("own"), other.alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "key", "own").join(cuts, "key")
+            for low, high in parts(b.column(0)):
+                wanted = np.unique(np.asarray(b.column(1).slice(low, high - low).flatten()))
+                u = Units(b.column(0).slice(low, high - low), min_words)
+                key, at = np.unique(u.key.view(np.int64), return_index=True)
+                at = at[np.isin(key, wanted)]
+                sets = [u.set_of(i) for i in at.tolist()]
+                starts = np.cumsum([0, *(len(s) for s in sets)])[:-1]
+                yield pa.RecordBatch.from_arrays([_longs(u.key[at]), _lists(np.concatenate([*sets, np.zeros(0, np.uint64)]), starts)], ["key", "shingles"])
 
-    def run(key, t):
-        t = t.combine_chunks()
-        sets = _sets(t.column("words").chunk(0))
-        n, size = len(sets), np.array([len(s) for s in sets])
-        shingles, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        at = np.flatnonzero(count > 1)
-        number = np.full(len(shingles), -1)
-        number[at] = np.arange(len(at))
-        column, row = number[column], np.repeat(np.arange(n), size)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        common = np.zeros((n, n), np.float32)
-        for low in range(0, len(at), BLOCK):
-            a, b = np.searchsorted(column, [low, low + BLOCK])
-            m = np.zeros((n, min(BLOCK, len(at) - low)), np.float32)
-            m[row[a:b], column[a:b] - low] = 1
-            common += m @ m.T
-        names = t.column("component").combine_chunks().to_pylist()
-        known = {c: i for i, c in enumerate(dict.fromkeys(names))}
-        root = list(range(len(known)))
-        of = [known[c] for c in names]
-
-        def find(i):
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        first, second = [], []
-        for i in range(n):
-            for j in np.flatnonzero(common[i, :i] >= threshold * (size[i] + size[:i] - common[i, :i].astype(np.float64))).tolist():
-                x, y = find(of[i]), find(of[j])
-                if x != y:
-                    root[x] = y
-                    first.append(i)
-                    second.append(j)
-        keys = t.column("key")
-        return pa.table({"leader": keys.take(pa.array(first, pa.int64())), "member": keys.take(pa.array(second, pa.int64()))})
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "leader binary, member binary")
-
-
-def _verified(pairs: DataFrame, cuts: DataFrame, threshold: float) -> DataFrame:
-    """(leader, member) of the pairs at the threshold. A leader's paragraph is copied once for
-    every FAN of its members."""
-    fan = pairs.groupBy(F.col("leader").alias("l")).agg(F.ceil(F.count(F.lit(1)) / F.lit(FAN)).cast("int").alias("salts"))
-    salted = pairs.join(fan, F.col("leader") == F.col("l")).select("leader", "member", F.expr("cast(pmod(xxhash64(member), salts) as int)").alias("salt"))
-    led = cuts.join(fan, F.col("key") == F.col("l")).select(
-        F.col("key").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("member"), "words"
-    )
-    each = cuts.join(salted, F.col("key") == F.col("member")).select("leader", "salt", "member", "words")
+    near = d.join(few(by_doc), F.col("doc_id") == F.col("needed_id")).select("text", "wanted")
+    return durable(near.mapInArrow(cut, "key bigint, shingles array<bigint>").dropDuplicates(["key"]))
 
-    def verify(key, t):
-        t = t.combine_chunks()
-        sets = _sets(t.column("words").chunk(0))
-        head = np.asarray(t.column("member").is_null())
-        good = []
-        if head.any():
-            a = sets[int(np.flatnonzero(head)[0])]
-            for i in np.flatnonzero(~head):
-                common = len(np.intersect1d(a, sets[i], assume_unique=True))
-                if common >= threshold * (len(a) + len(sets[i]) - common):
-                    good.append(int(i))
-        at = pa.array(good, pa.int64())
-        return pa.table({"leader": t.column("leader").take(at), "member": t.column("member").take(at)})
-
-    return led.unionByName(each).groupBy("leader", "salt").applyInArrow(verify, "leader binary, member binary")
-
-
-def _windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the run of `size` words from each word on, and how many words follow it in its text."""
-    n = len(w.hash)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(w.hash * _power("up", _BASE, n), out=total[1:])
-    past = np.minimum(np.arange(n) + size, n)
-    down = _power("down", pow(_BASE, -1, 1 << 64), n + 1)
-    left = np.repeat(w.text_at[1:], np.diff(w.text_at)) - np.arange(n) - size
-    return mixed((total[past] - total[:-1]) * down[:n]), left
-
-
-def _marks(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of marks: runs of MARK words that are the least of RUN - MARK + 1
-    neighbours, so that equal runs of RUN words hold equal marks."""
-    h, left = _windows(w, MARK)
-    reach, least, span = RUN - MARK + 1, h, 1
-    while span < reach:
-        step = min(span, reach - span)
-        least, span = np.concatenate([np.minimum(least[:-step], least[step:]), least[len(least) - step :]]) if len(least) > step else least, span + step
-    # 0 stands for a window that doesn't fit into its text
-    most, span = np.where(left >= reach - 1, least, np.uint64(0)), 1
-    while span < reach:
-        step = min(span, reach - span)
-        most, span = np.concatenate([most[:step], np.maximum(most[step:], most[:-step])]) if len(most) > step else most, span + step
-    at = np.flatnonzero(most == h)
-    return at, h[at]
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Runs of more than 50 words that another document holds too, whatever lines they stand in:
-    doc_id, paragraph (line of the first word), n_words, class_id, class_paragraphs, class_docs,
-    keep_doc_id, kept, first_word (from 0).
-
-    A row is a longest stretch of a document in which every run of RUN words is also in another
-    document and first in keep_doc_id, the least doc_id that has it; kept says that this is the
-    document itself. class_id names the first RUN words; class_paragraphs and class_docs count
-    where these stand. Every repeated run of RUN words is found: equal runs hold equal marks, only
-    runs around shared marks are sent, and these are compared by 64-bit hashes of their words.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    d = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high in parts(b.column(1)):
-                w = Words(b.column(1).slice(low, high - low))
-                at, h = _marks(w)
-                text = np.searchsorted(w.text_at, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(low, high - low).take(pa.array(text)), pa.array((at - w.text_at[text]).astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "at", "mark"]
-                )
+def _verified(edges: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(leader, member) of the edges whose Jaccard similarity is at the threshold."""
+    x, y = (sets.select(F.col("key").alias(name), F.col("shingles").alias(s)) for name, s in (("leader", "x"), ("member", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+    # sizes alone rule most pairs of lines of other lengths out
+    alike = (F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))) & (common >= threshold * (F.size("x") + F.size("y") - common))
+    return edges.join(x, "leader").join(y, "member").where(alike).select("leader", "member")
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for low, high in parts(b.column(1)):
-                w = Words(b.column(1).slice(low, high - low))
-                h, left = _windows(w, RUN)
-                wanted = b.column(2).slice(low, high - low)
-                count = np.asarray(pc.list_value_length(wanted)).astype(np.int64)
-                begin = np.repeat(w.text_at[:-1], count)
-                marks = np.asarray(wanted.flatten()).astype(np.int64) + begin
-                near = np.zeros(len(h) + 1, np.int64)
-                np.add.at(near, np.maximum(marks - (RUN - MARK), begin), 1)
-                np.add.at(near, marks + 1, -1)
-                at = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (left >= 0))
-                text = np.searchsorted(w.text_at, at, side="right") - 1
-                line = np.concatenate([[0], np.cumsum(w.data == 10)])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(low, high - low).take(pa.array(text)),
-                        pa.array(keys(w)[text, 0].view(np.int64)),
-                        pa.array((at - w.text_at[text]).astype(np.int32)),
-                        pa.array((line[w.first[at]] - line[w.edge[text]]).astype(np.int32)),
-                        pa.array(h[at].view(np.int64)),
-                    ],
-                    ["doc_id", "text", "at", "line", "run"],
-                )
 
-    marks = d.mapInArrow(mark, f"doc_id {kind}, at int, mark bigint")
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("mark")
-    by_doc = marks.join(few(durable(shared)), "mark").groupBy(F.col("doc_id").alias("needed_id")).agg(F.collect_set("at").alias("wanted"))
-    near = d.join(few(durable(by_doc)), F.col("doc_id") == F.col("needed_id")).select("doc_id", "text", "wanted")
-    same = Window.partitionBy("run")
-    found = (
-        near.mapInArrow(runs, f"doc_id {kind}, text bigint, at int, line int, run bigint")
-        .withColumn("nth", F.dense_rank().over(same.orderBy("doc_id")))
-        .withColumns({"class_docs": F.max("nth").over(same), "class_paragraphs": F.count(F.lit(1)).over(same), "keep_doc_id": F.min("doc_id").over(same)})
-        .where("class_docs > 1")
-    )
-    order = Window.partitionBy("doc_id", "text").orderBy("at")
-    goes_on = (F.col("at") <= F.lag("at").over(order) + 1) & (F.col("keep_doc_id") == F.lag("keep_doc_id").over(order))
-    found = found.withColumn("starts", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("starts").over(order))
-    rows = found.groupBy("doc_id", "text", "stretch").agg(
-        F.min(F.struct("at", "line", "run", "class_paragraphs", "class_docs", "keep_doc_id")).alias("f"), (F.max("at") - F.min("at") + RUN).alias("n_words")
-    )
-    return rows.select(
-        "doc_id",
-        F.col("f.line").alias("paragraph"),
-        "n_words",
-        F.lower(F.hex("f.run")).alias("class_id"),
-        "f.class_paragraphs",
-        F.col("f.class_docs").cast("bigint").alias("class_docs"),
-        "f.keep_doc_id",
-        (F.col("doc_id") == F.col("f.keep_doc_id")).alias("kept"),
-        F.col("f.at").alias("first_word"),
-    )
+def _across(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(leader, member): links at the threshold that connect the components of each bucket."""
+    dealt = apart.join(sets, F.col("node") == F.col("key")).drop("key")
+
+    def run(key, t):
+        t = t.combine_chunks()
+        x = t.column("shingles").combine_chunks()
+        at, flat = np.asarray(x.offsets), np.asarray(x.values)
+        own = [flat[at[i] : at[i + 1]] for i in range(len(x))]
+        size = np.array([len(s) for s in own])
+        common = products([(s, np.ones(len(s))) for s in own])
+        likely = common >= threshold * (size[:, None] + size - common.astype(np.float64)) * (1 - 1e-6)
+        found = Forest(t.column("component").to_pylist()).links(likely, lambda j, i: True)
+        first, second = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+        return pa.table({"leader": t.column("node").take(first), "member": t.column("node").take(second)})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "leader bigint, member bigint")
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """rows with low and high, the words that touching paragraphs of the same kind cover."""
+    order = Window.partitionBy("doc_id", "of", "is_line").orderBy("first")
+    rows = rows.withColumn("new", F.when(F.col("first") <= F.lag("past").over(order), 0).otherwise(1)).withColumn("stretch", F.sum("new").over(order))
+    whole = Window.partitionBy("doc_id", "of", "is_line", "stretch")
+    return rows.withColumns({"low": F.min("first").over(whole), "high": F.max("past").over(whole)}).drop("new", "stretch")
+
+
+def _runs(windows: DataFrame, d: DataFrame, kind: str) -> DataFrame:
+    """The runs of words that touching windows with the same keep_doc_id cover."""
+    short = windows.where(f"high - low < {RUN}")
+    # a run that two documents share holds windows of the same class in both
+    tested = windows.join(short.select("class").distinct(), "class", "left_semi")
+    by_doc = durable(tested.groupBy(F.col("doc_id").alias("needed_id")).agg(F.collect_set(F.struct("of", "first", "past")).alias("wanted")))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ofs, firsts, hashes = [], [], [], []
+            for k in range(b.num_rows):
+                u = Units(b.column(1).slice(k, 1), 1 << 30)
+                n = len(u.words.hash)
+                of = int(u.hashes(np.array([0]), np.array([n])).view(np.int64)[0])
+                for x in b.column(2)[k].as_py():
+                    if x["of"] == of:
+                        at = np.arange(max(0, x["past"] - RUN), min(x["first"], n - RUN) + 1)
+                        ids += [k] * len(at)
+                        ofs += [of] * len(at)
+                        firsts += [x["first"]] * len(at)
+                        hashes.append(u.hashes(at, at + RUN))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(ids, pa.int64())), pa.array(ofs, pa.int64()), pa.array(firsts, pa.int32()), _longs(np.concatenate([*hashes, np.zeros(0, np.uint64)]))], ["doc_id", "of", "first", "run"]
+            )
+
+    near = d.join(few(by_doc), F.col("doc_id") == F.col("needed_id")).select("doc_id", "text", "wanted")
+    tried = durable(near.mapInArrow(around, f"doc_id {kind}, of bigint, first int, run bigint"))
+    shared = tried.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("run")
+    sure = tried.join(shared, "run", "left_semi").select("doc_id", "of", "first").distinct()
+    w = windows.where(f"high - low >= {RUN}").unionByName(short.join(sure, ["doc_id", "of", "first"], "left_semi"))
+    order = Window.partitionBy("doc_id", "of").orderBy("first")
+    goes_on = (F.col("first") <= F.lag("past").over(order)) & (F.col("keep.doc_id") == F.lag("keep.doc_id").over(order))
+    w = w.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("piece", F.sum("new").over(order))
+    runs = w.groupBy("doc_id", "of", "piece").agg(F.min(F.struct("first", "line", "class", "class_paragraphs", "class_docs", "keep")).alias("f"), F.max("past").alias("past"))
+    return runs.select("doc_id", "f.*", (F.col("past") - F.col("f.first")).alias("n_words"))
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the text without the paragraphs that repeated_passages() did not keep."""
-    lost = passages.where("NOT kept").groupBy(F.col("doc_id").alias("loser")).agg(F.collect_set("paragraph").alias("lost"))
-    split = F.split("text", "\n", -1)
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("lost", i)), "\n")
-    d = documents(docs, id_col, text_col)
-    return d.join(lost, F.col("doc_id") == F.col("loser"), "left").select("doc_id", F.when(F.col("lost").isNull(), F.col("text")).otherwise(rest).alias("text"))
+    """doc_id and the text without the passages that repeated_passages() did not keep: whole lines
+    go with their line break, runs from their first word to their last."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    lost = passages.where("NOT kept").groupBy(F.col("doc_id").alias("loser")).agg(F.collect_list(F.struct("kind", "paragraph", "first_word", "n_words")).alias("lost"))
+    d = documents(docs, id_col, text_col).join(lost, F.col("doc_id") == F.col("loser"), "left").select("doc_id", "text", "lost")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            for i, lost in enumerate(b.column(2).to_pylist()):
+                if lost:
+                    texts[i] = _without(texts[i], lost)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return d.mapInArrow(cut, f"doc_id {kind}, text string")
+
+
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+
+
+def _without(text: str, lost: list[dict]) -> str:
+    spans, words, at = [], [m.span() for m in _WORD.finditer(text)], 0
+    whole = {x["paragraph"] for x in lost if x["kind"] == "line"}
+    for k, line in enumerate(text.split("\n")):
+        if k in whole:
+            spans.append((at, min(len(text), at + len(line) + 1)))
+        at += len(line) + 1
+    spans += [(words[x["first_word"]][0], words[x["first_word"] + x["n_words"] - 1][1]) for x in lost if x["kind"] == "run"]
+    out, at = [], 0
+    for low, high in sorted(spans):
+        out.append(text[at : max(at, low)])
+        at = max(at, high)
+    rest = "".join(out) + text[at:]
+    return rest.removesuffix("\n") if len(text.split("\n")) - 1 in whole else rest

@@ -73,10 +73,28 @@ def passage_classes(docs: list[tuple[int, str]], threshold: float = 0.8, min_wor
     return {(*p, *min(ps)) for ps in found.values() if len({d for d, _ in ps}) > 1 for p in ps}
 
 
-def run_words(docs: list[tuple[int, str]], size: int = 51) -> set[tuple[int, int]]:
-    """(doc_id, number of a word) of all words in runs of `size` words that another document holds."""
+def run_starts(docs: list[tuple[int, str]], size: int = 51) -> set[tuple[int, int]]:
+    """(doc_id, number of the first word) of all runs of `size` words that another document holds."""
     ws, holders = {i: words(t) for i, t in docs}, defaultdict(set)
     for i, w in ws.items():
         for k in range(len(w) - size + 1):
             holders[tuple(w[k : k + size])].add(i)
-    return {(i, k + j) for i, w in ws.items() for k in range(len(w) - size + 1) if len(holders[tuple(w[k : k + size])]) > 1 for j in range(size)}
+    return {(i, k) for i, w in ws.items() for k in range(len(w) - size + 1) if len(holders[tuple(w[k : k + size])]) > 1}
+
+
+def run_words(docs: list[tuple[int, str]], size: int = 51) -> set[tuple[int, int]]:
+    """(doc_id, number of a word) of all words in those runs."""
+    return {(i, k + j) for i, k in run_starts(docs, size) for j in range(size)}
+
+
+def alike_elsewhere(docs: list[tuple[int, str]], doc_id: int, first: int, size: int, threshold: float = 0.8) -> bool:
+    """Whether another document holds `size` words like those of doc_id from `first` on."""
+    own = set(shingles(words(dict(docs)[doc_id])[first : first + size]))
+    for i, t in docs:
+        ws = words(t) if i != doc_id else []
+        at = [k for k, s in enumerate(shingles(ws)) if s in own]
+        for k in {max(0, a - b) for a in at for b in range(size)}:
+            other = set(shingles(ws[k : k + size]))
+            if len(own & other) >= threshold * len(own | other):
+                return True
+    return False

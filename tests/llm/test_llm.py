@@ -207,7 +207,7 @@ def test_passages_are_those_of_brute_force(spark, sf):
     near[30] = "changed"
     d += [(9001, words(80, 1) + "\n" + passage), (9002, passage + "\n" + words(50, 2)), (9003, words(30, 3) + "\n" + " ".join(near)), (9004, words(90, 4))]
     got = substring_dedup.repeated_passages(docs(spark, d))
-    rows = {(r.doc_id, r.paragraph, r.keep_doc_id) for r in got.collect()}
+    rows = {(r.doc_id, r.paragraph, r.keep_doc_id) for r in got.where("kind = 'line'").collect()}
     assert rows == {(a, b, c) for a, b, c, _ in brute.passage_classes(d)}
     assert {i for i, _, _ in rows if i > 9000} == {9001, 9002, 9003}
     rest = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, d), got).collect()}
@@ -229,23 +229,36 @@ def test_passages_in_a_family_of_variants_below_the_threshold(spark):
         rows.append((i, " ".join(v)))
         if i % 10 == 0:
             rows.append((10_000 - i, " ".join(edited(v, 1, f"c{i}"))))
-    got = substring_dedup.repeated_passages(docs(spark, rows))
+    got = substring_dedup.repeated_passages(docs(spark, rows)).where("kind = 'line'")
     assert {(x.doc_id, x.paragraph, x.keep_doc_id) for x in got.collect()} == {(a, b, c) for a, b, c, _ in brute.passage_classes(rows)}
 
 
-def test_runs_inside_and_across_lines_are_those_of_brute_force(spark, sf):
+def test_every_repeated_run_holds_a_reported_one(spark, sf):
     d = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     w = words(51, 43).split()
     wrapped = "\n".join(" ".join(w[k : k + 9]) for k in range(0, 51, 9))
-    d += [(9001, words(70, 5) + " " + " ".join(w) + " " + words(40, 6)), (9002, words(30, 7) + "\n" + wrapped + "\n" + words(8, 8)), (9003, " ".join(w[:50]))]
-    d += [(9004, words(20, 9) + "\n" + wrapped.upper())]
-    got = substring_dedup.repeated_runs(docs(spark, d)).collect()
-    assert {(r.doc_id, k) for r in got for k in range(r.first_word, r.first_word + r.n_words)} == brute.run_words(d)
-    assert {(r.doc_id, r.paragraph, r.first_word, r.n_words, r.keep_doc_id, r.kept, r.class_docs) for r in got if r.doc_id > 9000} == {
-        (9001, 0, 70, 51, 9001, True, 3),
-        (9002, 1, 30, 51, 9001, False, 3),
-        (9004, 1, 20, 51, 9001, False, 3),
-    }
+    d += [(9001, words(70, 5) + " " + " ".join(w) + " " + words(40, 6)), (9002, words(30, 7) + "\n" + wrapped + "\n" + words(8, 8)), (9003, words(5, 44) + " " + " ".join(w[:50]) + " " + words(9, 45))]
+    d += [(9004, words(20, 9) + "\n" + wrapped.upper() + " " + words(40, 6))]
+    got = substring_dedup.repeated_passages(docs(spark, d)).where("kind = 'run'")
+    found = {(r.doc_id, k) for r in got.collect() for k in range(r.first_word, r.first_word + r.n_words)}
+    for i, k in brute.run_starts(d):
+        assert sum((i, x) in found for x in range(k, k + 51)) >= substring_dedup.WINDOW, (i, k)
+    for r in got.collect():
+        assert brute.alike_elsewhere(d, r.doc_id, r.first_word, substring_dedup.WINDOW), r
+    # 50 equal words are not a run of over 50
+    assert {i for i, _ in found if i > 9000} == {9001, 9002, 9004}
+    rest = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, d), got).collect()}
+    assert rest[9001] == d[-4][1] and len(rest[9002].split()) <= 38 + 25 and w[25] not in rest[9002].split() and rest[9003] == d[-2][1]
+
+
+def test_a_passage_of_very_many_documents_and_a_doc_id_of_text(spark):
+    passage = words(55, 51)
+    rows = [(f"d{i:04}", words(30 + i % 7, 5000 + i) + " " + passage + " " + words(12, 9000 + i)) for i in range(600)]
+    d = spark.createDataFrame([("x", *r) for r in rows], "key string, doc_id string, text string").repartition(7)
+    got = substring_dedup.repeated_passages(d).collect()
+    whole = [r for r in got if r.class_docs == 600]
+    assert {r.doc_id for r in whole} == {i for i, _ in rows} and {r.keep_doc_id for r in whole} == {"d0000"}
+    assert {r.doc_id for r in whole if r.kept} == {"d0000"}
 
 
 def test_bands_find_what_is_asked_for():
