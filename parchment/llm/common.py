@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +24,19 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchment-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files whose result is checkpointed: Spark deletes them when the driver
+    collects its garbage, which it would else do twice an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty; other columns, whatever their names, go."""
     return docs.select(
@@ -44,10 +55,23 @@ def groups_for(size: int, each: int = 8 << 20) -> int:
     return max(1, math.ceil(size / each))
 
 
-#: Rows of ids that may be broadcast; beyond it both sides of a join are shuffled.
-FEW = 100_000
+#: Bytes, by a generous count of each row's, that may be broadcast; beyond it both sides of a join are shuffled.
+FEW = 32 << 20
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    if isinstance(kind, T.ArrayType):
+        each = 8 * (1 + len(kind.elementType.fields)) if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.size(name), F.lit(0)) * each + 24
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 16
+    return F.lit(8)
 
 
 def few(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if a count shows that it has at most FEW rows."""
-    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+    """df marked for broadcast if it is measured to have at most FEW bytes."""
+    width = F.lit(24)
+    for f in df.schema.fields:
+        width = width + _width(f.name, f.dataType)
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= FEW else df

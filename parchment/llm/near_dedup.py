@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import corpus_size, documents, durable, few, groups_for
+from parchment.llm.common import corpus_size, documents, durable, few, groups_for, release
 from parchment.llm.components import components
 from parchment.llm.tiles import Forest, meetings, products
 from parchment.llm.words import Words, mixed, parts
@@ -121,8 +121,8 @@ def near_duplicates(
 
     1. Documents fall by a hash of doc_id into groups of a few megabytes. Each group sends its
        distinct shingles, packed by ranges of the hash space, and gets back one byte of idf for
-       each: document frequencies are exact, and a shingle of a third of all documents is one
-       row of each group.
+       each: document frequencies are exact but for chance collisions of 48 bits within a range,
+       and a shingle of a third of all documents is one number of each group.
     2. Documents with the same words form one class before anything else; one of them goes on.
     3. Consistent weighted samples make `bands` keys of `rows` samples. In each bucket every
        document is paired with the least one only, and the similarity of these pairs computed
@@ -138,10 +138,8 @@ def near_duplicates(
     kind = docs.schema[id_col].dataType.simpleString()
     base = documents(docs, id_col, text_col).where("doc_id IS NOT NULL")
     n, size = corpus_size(base)
-    groups, ranges = groups_for(size, GROUP), groups_for(size * 2, RANGE)
-    dealt = base.withColumn("g", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(groups)).cast("int"))
-
-    profile = durable(dealt.groupBy("g").cogroup(_codes(dealt, n, ranges).groupBy("g")).applyInArrow(_profile(bands, rows), f"doc_id {kind}, key binary, bands array<bigint>, codes binary"))
+    profile = _profiles(base, n, size, bands, rows, kind)
+    release(docs.sparkSession)
     first = profile.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     reps = durable(first)
     buckets = (
@@ -174,6 +172,14 @@ def near_duplicates(
     )
 
 
+def _profiles(base: DataFrame, n: int, size: int, bands: int, rows: int, kind: str) -> DataFrame:
+    """(doc_id, key, bands, codes): the idf of each document's shingles in order, and what follows from it."""
+    groups = groups_for(size, GROUP)
+    ranges = 1 << (groups_for(size * 2, RANGE) - 1).bit_length()
+    dealt = base.withColumn("g", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(groups)).cast("int"))
+    return durable(dealt.groupBy("g").cogroup(_codes(dealt, n, ranges).groupBy("g")).applyInArrow(_profile(bands, rows), f"doc_id {kind}, key binary, bands array<bigint>, codes binary"))
+
+
 def _across(apart: DataFrame, texts: DataFrame, threshold: float, kind: str) -> DataFrame:
     """(leader, member, similarity): links at the threshold that connect the components of each
     bucket. A product of matrices over the shingles that two members have finds the candidates,
@@ -216,25 +222,38 @@ def _unique_texts(t: pa.Table) -> tuple[pa.Array, pa.Array]:
 def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
     """(g, part, codes): the idf of a group's distinct shingles, in order of their hashes."""
 
+    # range p holds the hashes whose first `bits` bits are p; the next 48 bits are sent, byte by
+    # byte, as the first bytes of sorted numbers repeat
+    bits = ranges.bit_length() - 1
+
+    def pack(h):
+        rest = (h << np.uint64(bits)).astype(">u8")
+        return _binary(rest.view(np.uint8).reshape(len(h), 8)[:, :6].T)
+
+    def unpack(x):
+        planes = np.frombuffer(x.as_buffer(), np.uint8).reshape(6, -1)
+        out = np.zeros((planes.shape[1], 8), np.uint8)
+        out[:, :6] = planes.T
+        return out.view(">u8").ravel().astype(np.uint64)
+
     def send(key, t):
         _, h, _, _ = _vectors(_unique_texts(t)[1])
         at = _runs(h)
         h, df = h[at], np.diff(np.concatenate([at, [len(h)]]))
-        # range p holds the hashes from p * 2**64 / ranges on
-        cut = np.searchsorted(h, np.array([-(-(p << 64) // ranges) for p in range(ranges)], np.uint64)) if len(h) else np.zeros(ranges, np.int64)
+        cut = np.searchsorted(h, np.arange(ranges, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(1, np.uint64))
         cut = np.concatenate([cut, [len(h)]])
         filled = [p for p in range(ranges) if cut[p] < cut[p + 1]]
         return pa.table(
             {
                 "g": pa.array([key[0].as_py()] * len(filled), pa.int32()),
                 "part": pa.array(filled, pa.int32()),
-                "hashes": pa.array([_binary(h[cut[p] : cut[p + 1]]) for p in filled], pa.binary()),
+                "hashes": pa.array([pack(h[cut[p] : cut[p + 1]]) for p in filled], pa.binary()),
                 "df": pa.array([_binary(df[cut[p] : cut[p + 1]].astype(np.uint32)) if (df[cut[p] : cut[p + 1]] > 1).any() else b"" for p in filled], pa.binary()),
             }
         )
 
     def count(key, t):
-        sent = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
+        sent = [unpack(x) for x in t.column("hashes")]
         df = [np.frombuffer(x.as_buffer(), np.uint32) if len(x.as_buffer()) else np.ones(len(h), np.uint32) for x, h in zip(t.column("df"), sent, strict=True)]
         h, df = np.concatenate(sent), np.concatenate(df)
         order = np.argsort(h, kind="stable")
