@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.common import corpus_size, documents, durable, few, groups_for
+from parchment.llm.common import corpus_size, documents, durable, few, groups_for, release
 from parchment.llm.components import components
 from parchment.llm.tiles import Forest, meetings, products
 from parchment.llm.words import _BASE, Words, _power, mixed, parts
@@ -24,8 +24,9 @@ SIZE, THRESHOLD, RECALL = 5, 0.8, 0.999
 MIN_WORDS = 20
 #: Words of the shortest run that is certain to be found, and of a window: every run of RUN words holds a whole window.
 RUN, WINDOW = 51, 26
-#: Bands and rows of a band for windows. What they are for, equal runs, meets in any band; lines have bands for alike ones.
-WINDOW_BANDS = (1, 4)
+#: Bands and rows of a band for windows. What they are for, equal runs, meets in any band; one edit in a window of
+#: this size leaves its similarity under the threshold, so alike passages are what lines have their bands for.
+WINDOW_BANDS = (1, 16)
 #: Units that a task combines before it sends them; bytes sent to one range of bands; keys of one row.
 FLUSH, RANGE, CHUNK = 1 << 20, 4 << 20, 4096
 
@@ -267,8 +268,10 @@ def repeated_passages(
     ranges = groups_for(size, max(RANGE, 8 * math.isqrt(size)))
     sent = d.select("text").mapInArrow(_entries(schemes, ranges, min_words), "part bigint, bucket array<bigint>, key array<bigint>, several array<boolean>")
     met = durable(sent.groupBy("part").applyInArrow(_met({0, schemes[0][0]}, ranges), "bucket bigint, leader bigint, keys array<bigint>"))
+    release(docs.sparkSession)
     found = d.mapInArrow(_members(min_words), f"doc_id {kind}, of bigint, first int, past int, line int, is_line boolean, key bigint")
     members = durable(found.join(met.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi"))
+    release(docs.sparkSession)
 
     buckets = met.where("leader IS NOT NULL").select("bucket", "leader", F.explode("keys").alias("node"))
     edges = durable(buckets.where("leader <> node").select("leader", F.col("node").alias("member")).distinct())
@@ -285,22 +288,25 @@ def repeated_passages(
     classes = each.groupBy("class").agg(
         F.sum("n").alias("class_paragraphs"), F.count(F.lit(1)).alias("class_docs"), F.min(F.struct("doc_id", "at")).alias("keep")
     )
-    rows = durable(_stretches(classed.join(classes.where("class_docs > 1"), "class").drop("key")))
+    classes = classes.where("class_docs > 1").select("class", F.col("class_paragraphs").cast("int"), F.col("class_docs").cast("int"), "keep")
+    is_first = (F.col("doc_id") == F.col("keep.doc_id")) & (~F.col("is_line") | (F.col("line") == F.col("keep.at.line")) & (F.col("first") == F.col("keep.at.first")))
+    rows = classed.join(classes, "class").withColumns({"keep_doc_id": F.col("keep.doc_id"), "kept": is_first}).drop("key", "keep")
+    rows = durable(_stretches(rows))
+    release(docs.sparkSession)
     out = [
         "doc_id",
         F.col("line").alias("paragraph"),
         "n_words",
         F.lower(F.hex("class")).alias("class_id"),
-        "class_paragraphs",
-        "class_docs",
-        F.col("keep.doc_id").alias("keep_doc_id"),
+        F.col("class_paragraphs").cast("bigint").alias("class_paragraphs"),
+        F.col("class_docs").cast("bigint").alias("class_docs"),
+        "keep_doc_id",
         "kept",
         F.col("first").alias("first_word"),
     ]
-    is_first = (F.col("doc_id") == F.col("keep.doc_id")) & (F.col("line") == F.col("keep.at.line")) & (F.col("first") == F.col("keep.at.first"))
-    lines = rows.where("is_line").withColumns({"n_words": F.col("past") - F.col("first"), "kept": is_first}).select(*out, F.lit("line").alias("kind"))
-    runs = _runs(rows.where("NOT is_line"), d, kind).withColumn("kept", F.col("doc_id") == F.col("keep.doc_id"))
-    return lines.unionByName(runs.select(*out, F.lit("run").alias("kind")))
+    lines = rows.where("is_line").withColumn("n_words", F.col("past") - F.col("first"))
+    runs = _runs(rows.where("NOT is_line"), d, kind)
+    return lines.select(*out, F.lit("line").alias("kind")).unionByName(runs.select(*out, F.lit("run").alias("kind")))
 
 
 def _sets(edges: DataFrame, members: DataFrame, d: DataFrame, min_words: int) -> DataFrame:
@@ -391,9 +397,9 @@ def _runs(windows: DataFrame, d: DataFrame, kind: str) -> DataFrame:
     sure = tried.join(shared, "run", "left_semi").select("doc_id", "of", "first").distinct()
     w = windows.where(f"high - low >= {RUN}").unionByName(short.join(sure, ["doc_id", "of", "first"], "left_semi"))
     order = Window.partitionBy("doc_id", "of").orderBy("first")
-    goes_on = (F.col("first") <= F.lag("past").over(order)) & (F.col("keep.doc_id") == F.lag("keep.doc_id").over(order))
+    goes_on = (F.col("first") <= F.lag("past").over(order)) & (F.col("keep_doc_id") == F.lag("keep_doc_id").over(order))
     w = w.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("piece", F.sum("new").over(order))
-    runs = w.groupBy("doc_id", "of", "piece").agg(F.min(F.struct("first", "line", "class", "class_paragraphs", "class_docs", "keep")).alias("f"), F.max("past").alias("past"))
+    runs = w.groupBy("doc_id", "of", "piece").agg(F.min(F.struct("first", "line", "class", "class_paragraphs", "class_docs", "keep_doc_id", "kept")).alias("f"), F.max("past").alias("past"))
     return runs.select("doc_id", "f.*", (F.col("past") - F.col("f.first")).alias("n_words"))
 
 
