@@ -36,6 +36,8 @@ KINDS: dict[str, Kind] = {
     "ich": Kind(rf"(?i)\bICH{WS}[EQSM][0-9]{{1,2}}[A-Z]?(?:{WS}\(R[0-9]\))?", rf"(?i)ICH{WS}([EQSM][0-9]{{1,2}}[A-Z]?)(?:{WS}\((R[0-9])\))?"),
 }
 PRIMARY = "cfr"
+#: What each identifier holds somewhere.
+MAYBE = r"(?i)[0-9][ \t\r\n\x{a0}]*[CUF]\.?[ \t\r\n\x{a0}]*[FSR]|[A-Z][-‐‑‒–—][ \t\r\n\x{a0}]*[0-9]|NCT[ \t\r\n\x{a0}]*[0-9]|ICH[ \t\r\n\x{a0}]*[EQSM][0-9]"
 
 
 def flattened(raw: Column) -> Column:
@@ -107,6 +109,22 @@ def atoms(found: DataFrame, id_col: str = "id") -> DataFrame:
     return found.groupBy(id_col).agg(F.array_distinct(both).alias("atoms"))
 
 
+def atoms_of(text: Column | str) -> Column:
+    """The distinct atoms of the identifiers in a text, of both granularities; kinds in their order."""
+    text = F.col(text) if isinstance(text, str) else text
+
+    def of(name: str) -> Column:
+        def forms(m: Column) -> Column:
+            canonical, detailed, _ = _forms(name, m["raw"], F.substring(text, m["stop"] + 1, F.lit(24)))
+            return F.array(atom(canonical), atom(detailed))
+
+        return F.flatten(F.transform(offsets(text, KINDS[name].pattern), forms))
+
+    found = F.filter(F.array_distinct(F.concat(*(of(name) for name in KINDS))), lambda x: x.isNotNull())
+    # every kind has a digit behind a letter or a letter behind a digit; most texts don't pass
+    return F.when(text.rlike(MAYBE), found).otherwise(F.array().cast("array<string>"))
+
+
 def augmented(text: Column, atoms_: Column) -> Column:
     """Text with its atoms on a line of their own."""
     return F.when(F.coalesce(F.size(atoms_), F.lit(0)) > 0, F.concat(text, F.lit("\n"), F.array_join(atoms_, " "))).otherwise(text)

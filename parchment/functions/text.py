@@ -13,7 +13,8 @@ STOP_WORDS = (
 COVERAGE_STOP_WORDS = (
     "a an and are as at be by do for i if in is it its no of on or so the to up us we he she him her his my me you your they them their this that"
     " these those all any can had has have was were will with from but out per via non pre re co ex vs am pm which who whom whose what when where"
-    " why how than then there here also such would could been being other more most"
+    " why how than then there here also such would could been being other more most some each every under over into upon within without both"
+    " either neither only same including include includes included provided provide provides using used use uses"
 ).split()
 #: Words that a review doesn't compare.
 REVIEW_STOP_WORDS = "the a an of and or to in for be is are was were with that this on by as at from will shall must may should not no".split()
@@ -22,6 +23,8 @@ NUMBER_WORDS = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "ten": "10", "eleven": "11", "twelve": "12", "fifteen": "15", "twenty": "20", "thirty": "30", "sixty": "60", "ninety": "90",
 }
+#: White space of Unicode as a class that Java and RE2 read alike; their \\s is ASCII only.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -45,7 +48,7 @@ def strings(values) -> Column:
 
 def collapsed(c: Column | str) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(col(c), r"\s+", " "))
+    return F.trim(F.regexp_replace(col(c), f"{WHITE}+", " "))
 
 
 def content_hash(c: Column | str) -> Column:
@@ -79,12 +82,22 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 def white_tokens(c: Column | str) -> Column:
-    return F.filter(F.split(F.trim(F.regexp_replace(col(c), r"\s+", " ")), " "), lambda w: w != "")
+    return F.filter(F.split(collapsed(c), " "), lambda w: w != "")
+
+
+def _share(c: Column | str, floor: int, pattern: str) -> Column:
+    """Share of white-space tokens that match, 0 under `floor` tokens. Between single spaces a
+    token is counted by its pattern, so that no array is built and the text is collapsed once."""
+
+    def of(flat: Column) -> Column:
+        n = F.when(flat == "", 0).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1)
+        return F.when(n < floor, F.lit(0.0)).otherwise(F.regexp_count(flat, F.lit(f"(?<![^ ]){pattern}(?![^ ])")) / n)
+
+    return let(collapsed(c), of)
 
 
 def single_char_share(c: Column | str, floor: int = 200) -> Column:
-    t = white_tokens(c)
-    return F.when(F.size(t) < floor, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: F.length(w) == 1)) / F.size(t))
+    return _share(c, floor, "[^ ]")
 
 
 def control_share(c: Column | str, floor: int = 500) -> Column:
@@ -93,18 +106,17 @@ def control_share(c: Column | str, floor: int = 500) -> Column:
 
 
 def run_on_share(c: Column | str, floor: int = 200, long: int = 25) -> Column:
-    t = white_tokens(c)
-    return F.when(F.size(t) < floor, F.lit(0.0)).otherwise(F.size(F.filter(t, lambda w: w.rlike(rf"^\p{{L}}{{{long},}}$"))) / F.size(t))
+    return _share(c, floor, rf"\p{{L}}{{{long},}}")
 
 
 def quality_label(c: Column | str, floor: int = 200, control_floor: int = 500) -> Column:
     """Worst first: broken_encoding, character_spaced, space_collapsed, ok."""
-    return (
-        F.when(control_share(c, control_floor) >= 0.005, "broken_encoding")
-        .when(single_char_share(c, floor) >= 0.40, "character_spaced")
-        .when(run_on_share(c, floor) >= 0.002, "space_collapsed")
-        .otherwise("ok")
-    )
+    return label_of(control_share(c, control_floor), single_char_share(c, floor), run_on_share(c, floor))
+
+
+def label_of(control: Column | str, single: Column | str, run_on: Column | str) -> Column:
+    """quality_label() of shares that are there already."""
+    return F.when(col(control) >= 0.005, "broken_encoding").when(col(single) >= 0.40, "character_spaced").when(col(run_on) >= 0.002, "space_collapsed").otherwise("ok")
 
 
 def quarantined(label: Column | str, c: Column | str, floor: int = 200, control_floor: int = 500) -> Column:
@@ -146,9 +158,13 @@ def line_number_density(c: Column | str) -> Column:
     return F.when(F.size(lines) < 10, F.lit(0.0)).otherwise(F.size(hits) / F.size(lines))
 
 
+#: Integers alone on a line, before a line's end and at its start.
+LINE_NUMBERS = r"^[ \t]*[0-9]+[ \t]*$|(?<=\s)[0-9]+[ \t]*(?=\n)|(?<=\n)[ \t]*[0-9]+(?=\s)"
+
+
 def without_line_numbers(c: Column | str) -> Column:
     """Integers beside line ends dropped (all three kinds judged on the original text), white space collapsed."""
-    lone = F.regexp_replace(col(c), r"(?m)^[ \t]*[0-9]+[ \t]*$|(?<=\s)[0-9]+[ \t]*(?=\n)|(?<=\n)[ \t]*[0-9]+(?=\s)", " ")
+    lone = F.regexp_replace(col(c), f"(?m){LINE_NUMBERS}", " ")
     return collapsed(lone)
 
 

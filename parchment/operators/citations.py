@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.functions.text import collapsed, without_line_numbers
+from parchment.functions.text import LINE_NUMBERS, WHITE, collapsed, without_line_numbers
+from parchment.operators.needles import spread
 
 # Outcomes, the two that verify, and the shortest quote that is evidence.
 METHODS = ("exact", "normalized", "line_number_ambiguous", "wrong_chunk", "unverified", "too_short")
@@ -15,30 +16,33 @@ MIN_QUOTE = 24
 
 def located(quote: Column | str, source: Column | str) -> tuple[Column, Column, Column]:
     """(method, start, stop) of a quote in a source: as it stands, else but for white space, else
-    but for integers beside line ends (a diagnosis, no verification, and without offsets)."""
+    but for integers beside line ends (a diagnosis, no verification). Offsets are into the source
+    as it stands: the quote's words are looked for with any white space, in the last tier also with
+    such integers, between them."""
     quote, source = (F.col(x) if isinstance(x, str) else x for x in (quote, source))
     exact = F.instr(source, quote)
     loose = F.contains(collapsed(source), collapsed(quote)) & (collapsed(quote) != "")
     bare = F.contains(without_line_numbers(source), without_line_numbers(quote)) & (without_line_numbers(quote) != "")
+    gap, beside = f"{WHITE}+", rf"(?:{WHITE}|{LINE_NUMBERS})+"
+    loosely, barely = _anywhere(collapsed(quote), gap), _anywhere(without_line_numbers(quote), beside)
     method = F.when((quote == "") | (source == ""), None).when(exact > 0, "exact").when(loose, "normalized").when(bare, "line_number_ambiguous")
-    return method, F.when(exact > 0, exact - 1), F.when(exact > 0, exact - 1 + F.length(quote))
 
+    def by_method(of_exact: Column, of_pattern) -> Column:
+        return F.when(method == "exact", of_exact).when(method == "normalized", of_pattern(loosely)).when(method == "line_number_ambiguous", of_pattern(barely))
 
-def spans(matches: DataFrame) -> DataFrame:
-    """start, stop and matched_text of normalised matches, from the words around: rows need quote, source, method.
+    start = by_method(exact - 1, lambda p: F.regexp_instr(source, p) - 1)
+    return method, start, start + by_method(F.length(quote), lambda p: F.length(F.call_function("regexp_extract", source, p, F.lit(0))))
 
-    The words of the collapsed source are counted up to the match; the same number of words in
-    the original is where it starts.
-    """
-    at = F.instr(collapsed(F.col("source")), collapsed(F.col("quote")))
-    # characters other than white space before the match stay the same under collapsing
-    ahead = F.length(F.regexp_replace(F.substring(collapsed(F.col("source")), F.lit(1), at - 1), r"\s+", ""))
-    inside = F.length(F.regexp_replace(F.col("quote"), r"\s+", ""))
-    chars = F.filter(F.transform(F.split("source", ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda x: x["c"].rlike(r"\S"))
-    first, last = F.element_at(chars, ahead + 1)["i"], F.element_at(chars, ahead + inside)["i"] + 1
-    normal = F.col("method") == "normalized"
-    m = matches.withColumn("start", F.when(normal, first).otherwise(F.col("start"))).withColumn("stop", F.when(normal, last).otherwise(F.col("stop")))
-    return m.withColumn("matched_text", F.when(F.col("start").isNotNull(), F.substring(F.col("source"), F.col("start") + 1, F.col("stop") - F.col("start"))))
+
+def _anywhere(words: Column, gap: str) -> Column:
+    """The pattern of single-spaced words with `gap` for each space."""
+    quoted = F.replace(words, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit("(?m)\\Q"), F.replace(quoted, F.lit(" "), F.lit(f"\\E{gap}\\Q")), F.lit("\\E"))
+
+
+def spans(matches: DataFrame) -> DataFrame:
+    """matches (source, start, stop) with matched_text, what the source says there."""
+    return matches.withColumn("matched_text", F.when(F.col("start").isNotNull(), F.substring(F.col("source"), F.col("start") + 1, F.col("stop") - F.col("start"))))
 
 
 def verify(claims: DataFrame, chunks: DataFrame, least: int = MIN_QUOTE) -> DataFrame:
@@ -49,7 +53,7 @@ def verify(claims: DataFrame, chunks: DataFrame, least: int = MIN_QUOTE) -> Data
     diagnostic one; then the other chunks of its document in order, where any match is a wrong
     chunk. A claim on an unknown chunk is unverified.
     """
-    c = claims.withColumn("bare", F.regexp_replace(F.col("quote"), r"^\s+|\s+$", ""))
+    c = claims.withColumn("bare", F.regexp_replace(F.col("quote"), rf"\A{WHITE}+|{WHITE}+\z", ""))
     short = F.length("bare") < least
     cited = chunks.select(F.col("chunk_id").alias("__c"), F.col("doc_id").alias("__d"))
     every = chunks.select(F.col("chunk_id").alias("tried"), F.col("doc_id").alias("__e"), F.col("pos"), F.col("text").alias("source"))
@@ -86,17 +90,12 @@ def line_number_exposure(chunks: DataFrame, text_col: str = "text") -> DataFrame
     return c.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(F.col("a") < F.col("b")).alias("n_affected"), F.sum("b").alias("digits_before"), F.sum("a").alias("digits_after"))
 
 
-def evidence_spread(quotes: DataFrame, docs: DataFrame, least: int = MIN_QUOTE, block: int = 2000) -> DataFrame:
+def evidence_spread(quotes: DataFrame, docs: DataFrame, least: int = MIN_QUOTE) -> DataFrame:
     """quote_id, documents: how many texts contain the quote but for white space; 0 for short ones.
 
-    Quotes are the stated set. They go to every task in blocks of bounded size; a document
-    yields only the ids that it contains.
+    Quotes are the stated set; every document is read once against all of them.
     """
     q = quotes.select("quote_id", collapsed(F.col("quote")).alias("needle"))
-    n = q.where(F.length("needle") >= least)
-    parts = n.withColumn("block", F.pmod(F.xxhash64("quote_id"), F.lit(-(-max(1, n.count()) // block))))
-    packed = parts.groupBy("block").agg(F.collect_list(F.struct("quote_id", "needle")).alias("qs"))
-    d = docs.select("doc_id", collapsed(F.col("text")).alias("hay"))
-    hits = d.crossJoin(F.broadcast(packed)).select("doc_id", F.explode(F.expr("transform(filter(qs, q -> contains(hay, q.needle)), q -> q.quote_id)")).alias("__q"))
-    counts = hits.groupBy("__q").agg(F.count_distinct("doc_id").alias("n"))
-    return q.join(counts, F.col("quote_id") == F.col("__q"), "left").select("quote_id", F.coalesce("n", F.lit(0)).alias("documents"))
+    n = q.where(F.length("needle") >= least).withColumnRenamed("quote_id", "needle_id")
+    counts = spread(n, docs.select("doc_id", collapsed(F.col("text")).alias("text")))
+    return q.join(counts, F.col("quote_id") == F.col("needle_id"), "left").select("quote_id", F.coalesce("n", F.lit(0)).alias("documents"))

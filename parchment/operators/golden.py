@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import coverage, line_number_density
 from parchment.operators.citations import VERIFIED, evidence_spread
+from parchment.sources.files import durable
 
 # Shortest answer, widest spread, overlap of redundant answers, line density, coverage, draft budget.
 MIN_ANSWER, MAX_SPREAD, MAX_OVERLAP, MAX_DENSITY, MIN_COVERAGE, BUDGET = 40, 2, 0.7, 0.35, 0.45, 40_000
@@ -62,8 +64,6 @@ def redundant(pairs: DataFrame, most: float = MAX_OVERLAP) -> DataFrame:
     x, y = e.select("t", F.col("pair_id").alias("a"), F.col("w").alias("wa")), e.select("t", F.col("pair_id").alias("b"), F.col("w").alias("wb"))
     both = F.size(F.array_intersect("wa", "wb"))
     near = x.join(y, "t").where("a < b").dropDuplicates(["a", "b"]).where(both / (F.size("wa") + F.size("wb") - both) > most).select("a", "b")
-    from parchment.operators.dedup import durable
-
     near = durable(near)
     state = p.select("pair_id", F.lit(None).cast("boolean").alias("kept"), F.lit(None).cast(p.schema["pair_id"].dataType).alias("duplicate_of"))
     while True:
@@ -121,16 +121,19 @@ def diff(pairs: DataFrame) -> DataFrame:
     kind = pairs.schema["id"].dataType.simpleString()
 
     def ops(a: list[str], b: list[str]) -> list[dict]:
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        known = {t: k for k, t in enumerate(dict.fromkeys(a + b))}
+        x, y = (np.array([known[t] for t in side], np.int64) for side in (a, b))
+        best = np.zeros((len(a) + 1, len(b) + 1), np.uint16 if min(len(a), len(b)) < 1 << 16 else np.uint32)
         for i in reversed(range(len(a))):
-            for j in reversed(range(len(b))):
-                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            # a row at once: what a token adds where it matches, then the best of all places behind
+            row = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+            best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
         out, i, j = [], 0, 0
         while i < len(a) or j < len(b):
             if i < len(a) and j < len(b) and a[i] == b[j]:
                 out.append({"op": "same", "token": a[i]})
                 i, j = i + 1, j + 1
-            elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            elif j == len(b) or (i < len(a) and best[i + 1, j] >= best[i, j + 1]):
                 out.append({"op": "del", "token": a[i]})
                 i += 1
             else:

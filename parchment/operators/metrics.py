@@ -22,7 +22,6 @@ def per_query(hits: DataFrame, truth: DataFrame, queries: DataFrame, cuts: tuple
     Every query stands for every retriever, also one without hits. Recall counts distinct chunks over the
     relevant set; precision divides by the cut, not by the list.
     """
-    hits = hits.persist()  # k rows a query, read twice below
     t = truth.select("query_id", "chunk_id").distinct()
     n = t.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     h = hits.join(t.withColumn("relevant", F.lit(1)), ["query_id", "chunk_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
@@ -32,7 +31,7 @@ def per_query(hits: DataFrame, truth: DataFrame, queries: DataFrame, cuts: tuple
         good = F.when((F.col("rank") <= k) & (F.col("relevant") == 1), F.col("chunk_id"))
         aggs += [F.count_distinct(good).alias(f"d{k}"), F.count(good).alias(f"c{k}")]
     a = h.groupBy("query_id", "retriever").agg(*aggs)
-    every = queries.select("query_id", "slice").crossJoin(F.broadcast(hits.select("retriever").distinct()))
+    every = queries.select("query_id", "slice").crossJoin(F.broadcast(hits.select("retriever").distinct()))  # a handful of names
     q = every.join(a, ["query_id", "retriever"], "left").join(n, "query_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(10)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     cols = []

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.functions.identifiers import atoms_of
 from parchment.functions.text import let, tokens
+from parchment.operators.chunking import index_text
+from parchment.sources.files import durable
 
 # BM25 parameters.
 K1, B = 1.5, 0.75
 #: Rows and bytes up to which a query side is broadcast; beyond it the join shuffles by term.
 BROADCAST_ROWS = 200_000
+#: Vectors of one task and queries of one block of a vector search.
+PART, BLOCK = 4096, 1024
 
 
 def ranked(scores: DataFrame, k: int, retriever: str, places: int = 9) -> DataFrame:
@@ -20,9 +27,15 @@ def ranked(scores: DataFrame, k: int, retriever: str, places: int = 9) -> DataFr
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.lit(retriever).alias("retriever"), "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-def postings(chunks: DataFrame, text_col: str = "text", stop: bool = True) -> DataFrame:
+def index_terms(text: Column | str, stop: bool = True, atoms: bool = True) -> Column:
+    """What is indexed of a text and looked up for a query: its tokens, and an indivisible atom for
+    each form of the identifiers in it."""
+    return F.concat(tokens(text, stop), atoms_of(text)) if atoms else tokens(text, stop)
+
+
+def postings(chunks: DataFrame, text_col: str = "text", stop: bool = True, atoms: bool = True) -> DataFrame:
     """term, chunk_id, tf, dl: term counts are summed before they leave the task."""
-    t = chunks.select("chunk_id", tokens(text_col, stop).alias("terms")).withColumn("dl", F.size("terms"))
+    t = chunks.select("chunk_id", index_terms(text_col, stop, atoms).alias("terms")).withColumn("dl", F.size("terms"))
     return t.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -35,19 +48,28 @@ def weighted(post: DataFrame, n: int, mean: float, k1: float = K1, b: float = B)
 
 
 class LexicalIndex:
-    """BM25 over chunks (chunk_id, text). `postings` carries weights: a dot product with a query's term counts is the score."""
+    """BM25 over chunks (chunk_id, text). `postings` carries weights: a dot product with a query's term counts is the score.
+
+    Chunks are tokenised once; their postings are a checkpoint that document frequencies, totals
+    and all searches read. With `mode` (prepend, source or strip) the rows are assembled chunks and
+    the mode says how their heading takes part; `atoms` adds identifiers as terms of their own.
+    """
 
-    def __init__(self, chunks: DataFrame, text_col: str = "text", stop: bool = True, k1: float = K1, b: float = B):
-        self.text_col, self.stop = text_col, stop
-        size = chunks.select(F.size(tokens(text_col, stop)).alias("dl")).agg(F.count(F.lit(1)), F.avg("dl")).first()
-        self.n, self.mean = size[0], size[1] or 1.0
-        self.raw = postings(chunks, text_col, stop)
-        self.k1, self.b = k1, b
-        self.postings = weighted(self.raw, self.n, self.mean, k1, b)
+    def __init__(self, chunks: DataFrame, text_col: str = "text", stop: bool = True, k1: float = K1, b: float = B, atoms: bool = True, mode: str | None = None):
+        if mode:
+            chunks, text_col = index_text(chunks, mode), "index_text"
+        self.stop, self.atoms, self.k1, self.b = stop, atoms, k1, b
+        self.raw = durable(postings(chunks, text_col, stop, atoms))
+        self.n = chunks.count()
+        self.mean = (self.raw.agg(F.sum("tf")).first()[0] or 0) / max(1, self.n) or 1.0
+
+    @property
+    def postings(self) -> DataFrame:
+        return weighted(self.raw, self.n, self.mean, self.k1, self.b)
 
     def query_vectors(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """query_id, term, qtf: repeated terms count."""
-        return queries.select("query_id", F.explode(tokens(text_col, self.stop)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        return queries.select("query_id", F.explode(index_terms(text_col, self.stop, self.atoms)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
     def scores(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         q = self.query_vectors(queries, text_col)
@@ -65,15 +87,46 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _grid(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): of each query (query_id, qvec, cell) the best k of its cells'
+    vectors (chunk_id, vec, cell), of each task.
+
+    A cell's vectors are dealt to tasks of PART, its queries to blocks of BLOCK; each block meets
+    each part once, as a product of two matrices. Only the counts of the cells are broadcast.
+    """
+    salts = vectors.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("salts"))
+    blocks = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    sizes = salts.join(blocks, "cell")
+
+    def lot(c: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    v = vectors.join(F.broadcast(sizes), "cell").select("cell", lot("chunk_id", "salts").alias("salt"), each("blocks").alias("block"), "chunk_id", "vec")
+    q = queries.join(F.broadcast(sizes), "cell").select("cell", lot("query_id", "blocks").alias("block"), each("salts").alias("salt"), "query_id", "qvec")
+    kinds = [f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (vectors, "chunk_id"))]
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": right.column("query_id").slice(0, 0), "chunk_id": left.column("chunk_id").slice(0, 0), "score": pa.array([], pa.float64())})
+        left = left.combine_chunks().sort_by("chunk_id")
+        x, y = (np.stack(t.column(c).combine_chunks().to_numpy(zero_copy_only=False)).astype(np.float64) for t, c in ((left, "vec"), (right, "qvec")))
+        # rounded as the ranking is, so that ties are cut by id here too
+        scores = np.round(y @ x.T, 9)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        who = np.repeat(np.arange(len(y)), best.shape[1])
+        return pa.table({"query_id": right.column("query_id").take(pa.array(who)), "chunk_id": left.column("chunk_id").take(pa.array(best.ravel())), "score": scores[who, best.ravel()]})
+
+    keys = ("cell", "block", "salt")
+    return v.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(run, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+
+
 def dense_search(queries: DataFrame, vectors: DataFrame, k: int, name: str = "dense") -> DataFrame:
-    """Exact inner product of query vectors (query_id, qvec) with all (chunk_id, vec): queries are
-    the stated set, sent to every task in blocks of bounded size; each task keeps its best k."""
-    n = queries.count()
-    block = max(1, min(n, 4096))
-    parts = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // block))) if n > block else F.lit(0))
-    packed = parts.groupBy("block").agg(F.collect_list(F.struct("query_id", "qvec")).alias("qs"))
-    s = vectors.crossJoin(F.broadcast(packed)).select("chunk_id", "vec", F.explode("qs").alias("q")).select(F.col("q.query_id").alias("query_id"), "chunk_id", dot("q.qvec", "vec").alias("score"))
-    return ranked(s, k, name)
+    """Exact inner product of query vectors (query_id, qvec), the stated set, in blocks, with all (chunk_id, vec)."""
+    cell = F.lit(0).alias("cell")
+    return ranked(_grid(vectors.select("chunk_id", "vec", cell), queries.select("query_id", "qvec", cell), k), k, name)
 
 
 def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
@@ -90,30 +143,67 @@ def hashed_embedding(c: Column | str, dim: int = 64) -> Column:
     return let(let(signed(tokens(c)), summed), unit)
 
 
-# -- approximate search: signed projections that the data define --------------------------------
-
-
-def planes(vectors: DataFrame, bits: int, dim: int = 64) -> list[list[float]]:
-    """Differences of vectors at fixed places of the id order: 2 * bits rows, whatever the table's size."""
-    rows = [r["vec"] for r in vectors.orderBy(F.md5(F.col("chunk_id").cast("string"))).limit(2 * bits).collect()]
-    return [[float(a) - float(b) for a, b in zip(rows[2 * i], rows[2 * i + 1], strict=True)] for i in range(len(rows) // 2)]
-
-
-def cells(c: str, hyper: list[list[float]]) -> Column:
-    out = F.lit(0)
-    for i, p in enumerate(hyper):
-        out = out + F.when(dot(c, F.array(*(F.lit(x) for x in p))) > 0, 1 << i).otherwise(0)
-    return out
-
-
-def ann_search(queries: DataFrame, vectors: DataFrame, k: int, hyper: list[list[float]], probes: int = 0, name: str = "ann") -> DataFrame:
-    """Inner product within the query's cell and the cells that differ in up to `probes` bits."""
-    v = vectors.withColumn("cell", cells("vec", hyper))
-    q = queries.withColumn("home", cells("qvec", hyper))
-    near = [0] + ([1 << i for i in range(len(hyper))] if probes >= 1 else []) + ([1 << i | 1 << j for i in range(len(hyper)) for j in range(i)] if probes >= 2 else [])
-    q = q.select("query_id", "qvec", F.explode(F.array(*(F.col("home").bitwiseXOR(F.lit(x)) for x in near))).alias("cell"))
-    s = v.join(q, "cell").select("query_id", "chunk_id", dot("qvec", "vec").alias("score"))
-    return ranked(s, k, name)
+# -- approximate search: an inverted file -------------------------------------------------------
+
+#: Vectors that the cells are fitted on, and those of them that stand for queries to tune the probes.
+SAMPLE, TUNING = 16_384, 256
+
+
+class InvertedFile:
+    """Vectors (chunk_id, vec) in cells around fitted centroids; a search looks into the nearest cells.
+
+    The centroids, about the root of the number of vectors, are fitted on the SAMPLE rows with the
+    least hashes of their ids; every vector is indexed. `probes`, unless given, is the least number
+    of cells that holds a share of `recall` of the true `k` neighbours in the sample. Without
+    clusters in the data that is a large part of the cells.
+    """
+
+    def __init__(self, vectors: DataFrame, recall: float = 0.95, k: int = 10, cells: int | None = None, probes: int | None = None, seed: int = 0):
+        n = vectors.count()
+        rows = vectors.orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(SAMPLE).select("vec").collect()
+        sample = np.array([r["vec"] for r in rows], np.float64) if rows else np.zeros((1, 1))
+        self.cells = min(len(sample), cells or max(1, min(4096, round(n**0.5))))
+        self.centroids = self._fitted(sample, self.cells)
+        self.probes = min(self.cells, probes or self._enough(sample, recall, k))
+        self.vectors = durable(self._placed(vectors, "chunk_id", "vec", 1))
+
+    @staticmethod
+    def _fitted(sample: np.ndarray, cells: int, rounds: int = 12) -> np.ndarray:
+        at = sample[:cells].copy()
+        for _ in range(rounds):
+            at /= np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
+            own = np.argmax(sample @ at.T, axis=1)
+            total = np.zeros_like(at)
+            np.add.at(total, own, sample)
+            at = np.where(np.bincount(own, minlength=cells)[:, None] > 0, total, at)
+        return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
+
+    def _enough(self, sample: np.ndarray, recall: float, k: int) -> int:
+        own = np.argmax(sample @ self.centroids.T, axis=1)
+        asked = sample[-TUNING:]
+        near = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, :k]
+        order = np.argsort(np.argsort(-(asked @ self.centroids.T), axis=1, kind="stable"), axis=1)
+        # how many cells must be looked into to meet each true neighbour
+        needed = np.sort(np.take_along_axis(order, own[near], axis=1).ravel()) + 1
+        return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)])
+
+    def _placed(self, rows: DataFrame, key: str, vec: str, probes: int) -> DataFrame:
+        """rows once for each of their `probes` nearest cells."""
+        centroids, kind = self.centroids, rows.schema[key].dataType.simpleString()
+
+        def run(batches):
+            for b in batches:
+                if b.num_rows:
+                    x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                    near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
+                    at = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype(np.int32))], [key, vec, "cell"])
+
+        return rows.select(key, vec).mapInArrow(run, f"{key} {kind}, {vec} {rows.schema[vec].dataType.simpleString()}, cell int")
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, name: str = "ann") -> DataFrame:
+        near = self._placed(queries, "query_id", "qvec", min(self.cells, probes or self.probes))
+        return ranked(_grid(self.vectors, durable(near), k), k, name)
 
 
 def index_recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:

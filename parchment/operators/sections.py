@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,14 +97,59 @@ def outline_verdicts(outline: DataFrame, pages: DataFrame) -> DataFrame:
     return t.select("doc_id", "entries", (reason == "ok").alias("usable"), reason.alias("reason"))
 
 
-def anchored(outline: DataFrame, pages: DataFrame) -> DataFrame:
-    """Outline entries at their heading's place on the page, folded if need be, else at the page's start; starts never fall."""
-    p = page_offsets(pages).select(F.col("doc_id").alias("__d"), F.col("page").alias("__p"), F.col("text").alias("__t"), F.col("start").alias("__s"))
-    o = outline.join(p, (F.col("doc_id") == F.col("__d")) & (F.col("page") == F.col("__p")))
-    exact, loose = F.instr(F.col("__t"), F.col("title")), F.instr(F.lower("__t"), F.lower("title"))
-    at = F.col("__s") + F.greatest(F.when(exact > 0, exact).otherwise(loose) - 1, F.lit(0))
-    start = F.max(at).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return o.select("doc_id", "pos", "title", "page", start.alias("start"))
+def _place(title: str, page: str, at: int) -> int | None:
+    """Where a title stands in a page from `at` on: whole, by its first characters, or with other
+    white space; None if it doesn't."""
+    bare = title.strip()
+    heads = dict.fromkeys(bare[:n] for n in (len(bare), 40, 20))
+    shapes = [re.escape(h) for h in heads if len(h) >= 4]
+    if len(bare[:30]) >= 6:
+        shapes.append(r"\s*".join(map(re.escape, "".join(bare[:30].split()))))
+    found = (re.compile(s).search(page, at) for s in shapes)
+    return next((m.start() for m in found if m), None)
+
+
+def from_outline(outline: DataFrame, pages: DataFrame) -> DataFrame:
+    """Sections by an outline (doc_id, pos, title, level, page): doc_id, idx, heading, level, page, start, stop.
+
+    Entries are anchored where their title stands on the page, each after the one before; a title
+    that isn't there takes the place after the last anchor of the page. Entries of pages that don't
+    exist are left out. A section ends where the next begins.
+    """
+    p = page_offsets(pages)
+    ends = p.groupBy("doc_id").agg(F.max("stop").alias("text_end"))
+    entries = outline.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "title", "level"))).alias("entries"))
+    at = entries.join(p.select("doc_id", "page", "text", "start"), ["doc_id", "page"])
+    kind = at.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                cursor = 0
+                for e in r["entries"]:
+                    here = _place(e["title"] or "", r["text"] or "", cursor)
+                    here = cursor if here is None else here
+                    cursor = here + 1
+                    rows.append((r["doc_id"], r["page"], e["pos"], e["title"], e["level"], r["start"] + here))
+            names = ("doc_id", "page", "pos", "heading", "level", "start")
+            kinds = (b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
+
+    found = at.select("doc_id", "page", "text", "start", "entries").mapInArrow(run, f"doc_id {kind}, page bigint, pos bigint, heading string, level bigint, start bigint")
+    w = Window.partitionBy("doc_id").orderBy("start", "page", "pos")
+    s = found.join(ends, "doc_id").withColumns({"idx": (F.row_number().over(w) - 1).cast("bigint"), "stop": F.coalesce(F.lead("start").over(w), "text_end")})
+    return s.select("doc_id", "idx", "heading", "level", "page", "start", "stop")
+
+
+def sectioned(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
+    """Sections of every document: by its outline where that is usable, else by headings in its text."""
+    if outline is None:
+        return from_pages(pages)
+    counts = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    good = outline_verdicts(outline, counts).where("usable").select("doc_id")
+    by_outline = from_outline(outline.join(good, "doc_id", "left_semi"), pages.join(good, "doc_id", "left_semi"))
+    return by_outline.unionByName(from_pages(pages.join(good, "doc_id", "left_anti")))
 
 
 def page_verdicts(pages: DataFrame) -> DataFrame:

@@ -55,6 +55,41 @@ def manifest_stats(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
     )
 
 
+def corpus_facts(manifest: DataFrame, fetched: DataFrame) -> DataFrame:
+    """what, name, n: the counts of a corpus, from one pass of conditional aggregates and one pass of groups.
+
+    manifest: doc_id, source, status, center, issue_date, sha256; fetched: doc_id, ok, pages,
+    image_only_pages, text_chars, table_like_lines, text_layer.
+    """
+    m = manifest.join(fetched.select(F.col("doc_id").alias("__f"), *(c for c in fetched.columns if c != "doc_id")), F.col("doc_id") == F.col("__f"), "left")
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    layer, pages, chars = F.col("text_layer"), F.coalesce("pages", F.lit(0)), F.coalesce("text_chars", F.lit(0))
+    index = ok & F.coalesce(layer.isin("digital_native", "mixed"), F.lit(False))
+    blank = index & (F.coalesce("image_only_pages", F.lit(0)) > 0)
+    m = m.withColumns({"__index": index, "__ok": ok})
+    facts = {
+        ("count", "in_manifest"): F.lit(True), ("count", "ok"): ok, ("count", "failed"): F.col("__f").isNotNull() & ~ok, ("count", "missing"): F.col("__f").isNull(),
+        ("count", "indexable"): index, ("count", "pinned"): F.col("sha256").isNotNull(),
+        ("scans", "with_blank_pages"): blank, ("scans", "mixed"): blank & (layer == "mixed"), ("scans", "digital_native"): blank & (layer == "digital_native"),
+        ("slices", "with_table_like_lines"): index & (F.coalesce("table_like_lines", F.lit(0)) > 0), ("slices", "undated"): index & F.col("issue_date").isNull(),
+        ("quality", "undated"): F.col("issue_date").isNull(), ("quality", "unpinned"): F.col("sha256").isNull(), ("quality", "unreadable"): ok & (layer == "unreadable"),
+        ("quality", "negligible_text"): ok & (pages > 0) & (chars / F.greatest(pages, F.lit(1)) < 100),
+    }
+    one = m.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"{a}.{b}") for (a, b), c in facts.items()), F.coalesce(F.sum(F.when(index, chars)), F.lit(0)).alias("sum.chars"))
+    rows = F.explode(F.array(*(F.struct(F.lit(c.split(".")[0]).alias("what"), F.lit(c.split(".")[1]).alias("name"), F.col(f"`{c}`").cast("bigint").alias("n")) for c in one.columns))).alias("r")
+    era = F.when(F.col("issue_date").isNull(), "undated").otherwise(F.concat((F.floor(F.year("issue_date") / 10) * 10).cast("string"), F.lit("s")))
+    groups = {
+        "source": F.col("source"), "status": F.coalesce("status", F.lit("n/a")), "era": era, "layer": F.when(ok, F.coalesce(layer, F.lit("unknown"))), "center": F.when(index, F.coalesce("center", F.lit("unknown"))),
+    }
+    named = m.select(F.explode(F.array(*(F.struct(F.lit(k).alias("what"), v.alias("name")) for k, v in groups.items()))).alias("r")).select("r.*").where("name IS NOT NULL")
+    return one.select(rows).select("r.*").unionByName(named.groupBy("what", "name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def most(rows: DataFrame, value: str, key: str, n: int = 10) -> DataFrame:
+    """The n rows with the largest value, ties by key."""
+    return rows.orderBy(F.desc(value), F.asc(key)).limit(n)
+
+
 def carried(new: DataFrame, old: DataFrame, key: str = "doc_id", cols: tuple[str, ...] = ("sha256",)) -> DataFrame:
     """New rows with the old rows' values where they have none."""
     o = old.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in cols))

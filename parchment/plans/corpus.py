@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchment.functions.identifiers import extract
-from parchment.functions.text import shingles
-from parchment.operators import chunking, dedup, evalset, fusion, metrics, providers, retrieval
+from parchment.operators import chunking, dedup, evalset, fusion, metrics, needles, providers, retrieval
 from parchment.operators import sections as sec
 from parchment.plans.literals import literal, values
 from parchment.plans.registry import query, table
 from parchment.plans.text import SHINGLES, WORDS, sql_tokens
+from parchment.sources.files import durable
 
 CHUNKS = """(SELECT printf('%d::fixed::%05d', doc_id, i) AS chunk_id, doc_id, CAST(i AS INTEGER) AS idx, i * 871 AS start,
  i * 871 + length(substring(text, i * 871 + 1, 1024)) AS stop, substring(text, i * 871 + 1, 1024) AS text
@@ -204,14 +204,13 @@ def minhash_estimates(spark, sf):
     return j.select("a", "b", "similarity", dedup.estimated_jaccard("sa", "sb").alias("estimate"))
 
 
-@query(f"WITH {JACCARD} SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE a % 50 = 0 AND similarity >= 0.1")
+@query(
+    f"""WITH {JACCARD}, x AS (SELECT doc_id AS a, len(s) AS na, s FROM w WHERE doc_id % 50 = 0), xe AS (SELECT a, na, unnest(s) AS t FROM x)
+SELECT a, id AS b, round(count(*) / (any_value(na) + any_value(z.n) - count(*)), 6) AS similarity FROM xe JOIN e USING (t) JOIN z USING (id) WHERE a <> id GROUP BY a, id HAVING count(*) / (any_value(na) + any_value(z.n) - count(*)) >= 0.1"""
+)
 def overlap_scores(spark, sf):
-    s = _items(spark, sf).select("id", shingles("text").alias("s"), F.md5(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), " ")).alias("k"))
-    r = s.groupBy("k").agg(F.min_by(F.struct("id", "s"), "id").alias("r")).select("r.*")
-    e = r.select("id", F.size("s").alias("n"), F.explode("s").alias("t"))
-    x, y = e.where("id % 50 = 0").select(F.col("id").alias("a"), F.col("n").alias("na"), "t"), e.select(F.col("id").alias("b"), F.col("n").alias("nb"), "t")
-    c = x.join(y, "t").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return c.withColumn("similarity", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where("similarity >= 0.1").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    d = _items(spark, sf)
+    return dedup.overlaps(d.where("id % 50 = 0"), d).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"{BM25} SELECT {SHOW} FROM bm WHERE rank <= 10")
@@ -219,22 +218,20 @@ def bm25_topk(spark, sf):
     return shown(retrieval.LexicalIndex(chunks(spark, sf)).search(questions(spark, sf), 10))
 
 
-@query(f"{BM25} SELECT term, count(*) AS df, round(sum(weight), 6) AS weight FROM post GROUP BY term HAVING count(*) >= 5")
+@query(f"{BM25} SELECT chunk_id, term, round(weight, 6) AS weight FROM post")
 def sparse_vectors(spark, sf):
-    p = retrieval.LexicalIndex(chunks(spark, sf)).postings
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("weight"), 6).alias("weight")).where("df >= 5")
+    return retrieval.LexicalIndex(chunks(spark, sf)).postings.select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 
 VECTORS = "(SELECT vec_id AS chunk_id, embedding AS vec, label FROM embeddings)"
-DENSE = f"""q AS (SELECT min(vec_id) AS query_id FROM embeddings GROUP BY label), qv AS (SELECT vec_id AS query_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id IN (SELECT query_id FROM q)),
+DENSE = f"""qv AS (SELECT vec_id AS query_id, embedding AS qvec, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT query_id, ql, chunk_id, label, round(list_sum(list_transform(range(1, 65), lambda i: CAST(qvec[i] AS DOUBLE) * CAST(vec[i] AS DOUBLE))), 9) AS score FROM qv, {VECTORS}),
 dn AS (SELECT query_id, 'dense' AS retriever, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)"""
 
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    first = e.groupBy("label").agg(F.min("vec_id").alias("query_id"))
-    q = e.join(F.broadcast(first.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("qvec"), "label")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"), "label"), q
 
 
@@ -247,17 +244,19 @@ def dense_topk(spark, sf):
 @query()
 def ann_topk(spark, sf):
     v, q = _vectors(spark, sf)
-    return shown(retrieval.ann_search(q, v, 10, retrieval.planes(v, 6), 2))
+    return shown(retrieval.InvertedFile(v).search(q, 10))
 
 
 @query()
 def ann_recall_sweep(spark, sf):
+    """Recall of three numbers of probes, the last of them the one that the index chose for itself."""
     v, q = _vectors(spark, sf)
     retrieval.check_same_keys(v, table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id")))
-    exact, hyper, out = retrieval.dense_search(q, v, 10), retrieval.planes(v, 6), None
-    for probes in (0, 1, 2):
-        r = retrieval.index_recall(retrieval.ann_search(q, v, 10, hyper, probes), exact, 10)
-        r = r.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("recall").alias("recall"), F.avg(F.col("identical").cast("double")).alias("identical")).withColumn("probes", F.lit(probes))
+    exact, index, out = durable(retrieval.dense_search(q, v, 10)), retrieval.InvertedFile(v), None
+    for probes in sorted({max(1, index.probes // 4), max(1, index.probes // 2), index.probes}):
+        r = retrieval.index_recall(index.search(q, 10, probes), exact, 10)
+        r = r.agg(F.count(F.lit(1)).alias("n_queries"), F.avg("recall").alias("recall"), F.avg(F.col("identical").cast("double")).alias("identical"))
+        r = r.withColumns({"probes": F.lit(probes), "cells": F.lit(index.cells)})
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -312,11 +311,9 @@ TRUTH = f"(SELECT item_id AS query_id, chunk_id FROM benchmark JOIN documents d
 
 
 def _truth(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    at = F.instr(F.col("text"), F.col("needle")) - 1
-    # the probes are the stated set; each document is read once against the block of them
-    spans = d.crossJoin(F.broadcast(b)).where(F.contains("text", F.col("needle"))).select("query_id", "doc_id", at.alias("start"), (at + F.length("needle")).alias("stop"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
+    found = needles.containing(b, table(spark, sf, "documents"))
+    spans = found.join(F.broadcast(b.select("needle_id", F.length("needle").alias("n"))), "needle_id").select(F.col("needle_id").alias("query_id"), "doc_id", "start", (F.col("start") + F.col("n")).alias("stop"))
     return metrics.relevant_chunks(spans, chunks(spark, sf))
 
 
@@ -388,21 +385,6 @@ def saturation(spark, sf):
     return metrics.saturated(literal(spark, "runs"), "retriever", "recall")
 
 
-@query()
-def chunk_size_sweep(spark, sf):
-    d, q, out = table(spark, sf, "documents"), questions(spark, sf), None
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    at = F.instr(F.col("text"), F.col("needle")) - 1
-    spans = d.crossJoin(F.broadcast(b)).where(F.contains("text", F.col("needle"))).select("query_id", "doc_id", at.alias("start"), (at + F.length("needle")).alias("stop"))
-    for target in (512, 1024, 2048, 4096):
-        c = chunking.fixed_width(d, target, 153)
-        hits = retrieval.LexicalIndex(c).search(q, 20)
-        s = metrics.by_slice(metrics.per_query(hits, metrics.relevant_chunks(spans, c), q.select("query_id", F.lit("passages").alias("slice"))))
-        s = s.withColumn("target", F.lit(target))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
 def _sections(spark, sf):
     return chunking.line_sections(table(spark, sf, "documents"))
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchment.functions import text as t
-from parchment.operators import answers, citations, contextual, curate, golden, judge, providers, retrieval
+from parchment.operators import answers, citations, contextual, curate, golden, judge, needles, providers, retrieval
 from parchment.plans.corpus import CHUNKS, chunks, questions
 from parchment.plans.literals import literal, values
 from parchment.plans.registry import query, table
 
 C, Q = values("chunks"), values("claims")
-WS = r"\s+"
+WS = t.WHITE + "+"
 
 
 def flat(c: str) -> str:
-    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({c}, '{WS}', ' ', 'g'))"
 
 
 def bare(c: str) -> str:
@@ -68,10 +68,11 @@ def citation_precision(spark, sf):
 
 @query("SELECT item_id AS claim_id, doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS start, CAST(strpos(d.text, b.text) - 1 + length(b.text) AS BIGINT) AS stop FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quotes_in_documents(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("quote"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.col("text").alias("needle"))
     d = table(spark, sf, "documents").select("doc_id", "text")
-    m, start, stop = citations.located("quote", "text")
-    j = d.crossJoin(F.broadcast(b)).where(F.contains("text", F.col("quote"))).select("claim_id", "doc_id", m.alias("m"), start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
+    at = needles.containing(b, d).select("needle_id", "doc_id").join(b, "needle_id").join(d, "doc_id")
+    m, start, stop = citations.located("needle", "text")
+    j = at.select(F.col("needle_id").alias("claim_id"), "doc_id", m.alias("m"), start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"))
     return j.where("m = 'exact'").drop("m")
 
 

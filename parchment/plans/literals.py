@@ -64,6 +64,7 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
             (7, 3, "b1", "The sponsor must report within 30 days"),
             (8, 3, "b1", "INVESTIGATORS SHOULD NOT SUBMIT THE FORM"),
             (9, 4, "b1", "  the agency may require it. Subjects will  "),
+            (10, 4, "b2", "recommendations. The\u00a0agency recommends that"),
         ],
     ),
     "hits": (
@@ -116,6 +117,10 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         [(1, 1, "Scope of Work", 1), (1, 2, "Methods", 2), (1, 3, "Results", 3), (2, 1, "One", 1), (3, 1, "a", 1), (3, 2, "", 2), (3, 3, "Intro", 3), (4, 1, "Alpha", 1), (4, 2, "Beta", 1), (4, 3, "Gamma", 2)]
         + [(5, i, f"Entry {i}", i % 2 + 1) for i in range(20)],
     ),
+    "toc": (
+        "doc_id bigint, pos bigint, title string, level bigint, page bigint",
+        [(1, 1, "Scope of the Study", 1, 2), (1, 2, "Primary Aim", 2, 2), (1, 3, "Methods and Materials", 1, 3), (1, 4, "Selection of Sites", 2, 3), (1, 5, "Final Remarks", 1, 6), (3, 1, "Results", 1, 1), (3, 2, "Sponsors of a study", 2, 1)],
+    ),
     "outline_pages": ("doc_id bigint, n_pages bigint", [(i, 9 if i < 5 else 2) for i in range(1, 6)]),
     "catalogue": (
         "id bigint, title string, media string, issued string, office string",

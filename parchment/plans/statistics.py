@@ -30,6 +30,41 @@ def manifest_stats(spark, sf):
     return stats.manifest_stats(*_manifest(spark, sf))
 
 
+def _corpus(spark, sf):
+    """A manifest and a fetch log made from documents and labels."""
+    d = table(spark, sf, "documents")
+    m = d.select(
+        "doc_id", "source", F.when(F.col("doc_id") % 4 > 0, F.col("lang")).alias("status"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("c"), F.col("doc_id") % 7)).alias("center"),
+        F.when(F.col("doc_id") % 6 > 0, F.date_add(F.lit("1990-01-01").cast("date"), (F.col("doc_id") % 12000).cast("int"))).alias("issue_date"), F.when(F.col("doc_id") % 3 == 0, F.md5("text")).alias("sha256"),
+    )
+    _, f = _manifest(spark, sf)
+    return m, f.select("*", (F.col("doc_id") % 9).alias("pages"), (F.col("doc_id") % 3).alias("image_only_pages"), (F.col("doc_id") % 11).alias("table_like_lines"))
+
+
+@query(
+    """WITH m AS (SELECT d.doc_id, source, CASE WHEN d.doc_id % 4 > 0 THEN lang END AS status, CASE WHEN d.doc_id % 5 > 0 THEN 'c' || (d.doc_id % 7) END AS center,
+ CASE WHEN d.doc_id % 6 > 0 THEN DATE '1990-01-01' + CAST(d.doc_id % 12000 AS INTEGER) END AS dt, d.doc_id % 3 = 0 AS pin, l.doc_id IS NOT NULL AS f, coalesce(quality = 1, false) AS ok, length(text) AS n,
+ CASE WHEN length(text) < 100 THEN 'image_only' WHEN length(text) < 400 THEN 'mixed' ELSE 'digital_native' END AS layer, d.doc_id % 9 AS p, d.doc_id % 3 AS b, d.doc_id % 11 AS t FROM documents d LEFT JOIN labels l USING (doc_id)),
+x AS (SELECT *, ok AND n >= 100 AS i, ok AND n >= 100 AND b > 0 AS k FROM m)
+SELECT 'count' AS what, 'in_manifest' AS name, count(*) AS n FROM x UNION ALL SELECT 'count', 'ok', count(*) FILTER (ok) FROM x UNION ALL SELECT 'count', 'failed', count(*) FILTER (f AND NOT ok) FROM x
+UNION ALL SELECT 'count', 'missing', count(*) FILTER (NOT f) FROM x UNION ALL SELECT 'count', 'indexable', count(*) FILTER (i) FROM x UNION ALL SELECT 'count', 'pinned', count(*) FILTER (pin) FROM x
+UNION ALL SELECT 'scans', 'with_blank_pages', count(*) FILTER (k) FROM x UNION ALL SELECT 'scans', 'mixed', count(*) FILTER (k AND layer = 'mixed') FROM x UNION ALL SELECT 'scans', 'digital_native', count(*) FILTER (k AND layer = 'digital_native') FROM x
+UNION ALL SELECT 'slices', 'with_table_like_lines', count(*) FILTER (i AND t > 0) FROM x UNION ALL SELECT 'slices', 'undated', count(*) FILTER (i AND dt IS NULL) FROM x
+UNION ALL SELECT 'quality', 'undated', count(*) FILTER (dt IS NULL) FROM x UNION ALL SELECT 'quality', 'unpinned', count(*) FILTER (NOT pin) FROM x UNION ALL SELECT 'quality', 'unreadable', 0
+UNION ALL SELECT 'quality', 'negligible_text', count(*) FILTER (ok AND p > 0 AND n / p < 100) FROM x UNION ALL SELECT 'sum', 'chars', CAST(coalesce(sum(n) FILTER (i), 0) AS BIGINT) FROM x
+UNION ALL SELECT 'source', source, count(*) FROM x GROUP BY source UNION ALL SELECT 'status', coalesce(status, 'n/a'), count(*) FROM x GROUP BY 2
+UNION ALL SELECT 'era', CASE WHEN dt IS NULL THEN 'undated' ELSE (year(dt) // 10 * 10) || 's' END, count(*) FROM x GROUP BY 2 UNION ALL SELECT 'layer', layer, count(*) FROM x WHERE ok GROUP BY 2
+UNION ALL SELECT 'center', coalesce(center, 'unknown'), count(*) FROM x WHERE i GROUP BY 2"""
+)
+def corpus_facts(spark, sf):
+    return stats.corpus_facts(*_corpus(spark, sf))
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10")
+def longest_documents(spark, sf):
+    return stats.most(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id")
+
+
 @query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN md5(text) END, CASE WHEN doc_id % 2 = 0 THEN 'old' END) AS sha256 FROM documents")
 def carry_forward(spark, sf):
     m, _ = _manifest(spark, sf)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import identifiers as ids
 from parchment.functions import text as t
-from parchment.operators import citations, sections, stats
+from parchment.operators import citations, dedup, sections, stats
 from parchment.plans.literals import literal, values
 from parchment.plans.registry import query, table
 
@@ -18,10 +18,10 @@ def sql_tokens(c: str) -> str:
     return f"list_filter(regexp_extract_all(lower({c}), '{TOK}'), lambda w: NOT list_contains({STOP}, w))"
 
 
-@query(rf"SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS hash, count(*) AS size, min(doc_id) AS canonical_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(rf"SELECT sha256(lower(trim(regexp_replace(text, '{t.WHITE}+', ' ', 'g')))) AS hash, count(*) AS size, min(doc_id) AS canonical_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def content_hash_groups(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", t.content_hash("text").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("canonical_id")).where("size > 1")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return dedup.exact_groups(d).where("size > 1")
 
 
 @query(f"SELECT doc_id, CAST(len({sql_tokens('text')}) AS BIGINT) AS n_tokens, CAST(len(list_distinct({sql_tokens('text')})) AS BIGINT) AS n_terms FROM documents")
@@ -41,7 +41,7 @@ def shingle_sets(spark, sf):
 
 
 QUALITY = rf"""
-WITH q AS (SELECT doc_id, stored, text, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM {{src}}),
+WITH q AS (SELECT doc_id, stored, text, list_filter(string_split(trim(regexp_replace(text, '{t.WHITE}+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM {{src}}),
 s AS (SELECT doc_id, stored,
  CASE WHEN length(text) < 500 THEN 0 ELSE length(regexp_replace(text, '[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]', '', 'g')) / length(text) END AS control_share,
  CASE WHEN len(t) < 200 THEN 0 ELSE len(list_filter(t, lambda x: length(x) = 1)) / len(t) END AS single_share,
@@ -51,9 +51,9 @@ l AS (SELECT *, CASE WHEN control_share >= 0.005 THEN 'broken_encoding' WHEN sin
 
 
 def _quality(d):
-    return d.select(
-        "doc_id", F.round(t.control_share("text"), 6).alias("control_share"), F.round(t.single_char_share("text"), 6).alias("single_share"), F.round(t.run_on_share("text"), 6).alias("run_on_share"), t.quality_label("text").alias("label")
-    )
+    shares = {"control_share": t.control_share("text"), "single_share": t.single_char_share("text"), "run_on_share": t.run_on_share("text")}
+    s = d.select("doc_id", *(v.alias(k) for k, v in shares.items()))
+    return s.select("doc_id", *(F.round(k, 6).alias(k) for k in shares), t.label_of(*shares).alias("label"))
 
 
 QUALITY_OUT = "SELECT doc_id, round(control_share, 6) AS control_share, round(single_share, 6) AS single_share, round(run_on_share, 6) AS run_on_share, label FROM l"

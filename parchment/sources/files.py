@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,18 @@ FETCHED = T.StructType(
 )
 
 
+def durable(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder of spark.checkpoint.dir; where that is unset and all tasks run on
+    this machine, in one of our own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="parchment-"))
+    return df.checkpoint(eager=True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON lines under a fixed schema: unknown keys go, missing ones are NULL, blank lines are skipped, a missing path is empty."""
     try:

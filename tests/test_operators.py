@@ -86,8 +86,16 @@ def test_running_headers_are_furniture(spark):
 
 def test_outline_is_anchored(spark):
     p = spark.createDataFrame([(1, 1, "Title\nScope of Work"), (1, 2, "x METHODS y")], "doc_id bigint, page bigint, text string")
-    o = spark.createDataFrame([(1, 1, "Scope of Work", 1), (1, 2, "Methods", 2), (1, 3, "absent", 2)], "doc_id bigint, pos bigint, title string, page bigint")
-    assert [r.start for r in sections.anchored(o, p).orderBy("pos").collect()] == [6, 23, 23]
+    o = [(1, 1, "Scope of Work", 1, 1), (1, 2, "METHODS", 1, 2), (1, 3, "absent", 2, 2), (1, 4, "gone", 1, 9)]
+    got = sections.from_outline(spark.createDataFrame(o, "doc_id bigint, pos bigint, title string, level bigint, page bigint"), p).orderBy("idx").collect()
+    assert [(r.heading, r.start, r.stop) for r in got] == [("Scope of Work", 6, 23), ("METHODS", 23, 24), ("absent", 24, 32)]
+
+
+def test_titles_are_found_by_their_beginning_and_with_other_white_space():
+    page = "x A long title about records\nand sites of a study, then   text. Scope\n of   Work"
+    whole = "A long title about records and sites of a study, which goes on in the outline alone"
+    assert sections._place(whole, page, 0) == 2 and sections._place("Scope of Work", page, 0) == page.index("Scope")
+    assert sections._place("abc", page, 0) is None and sections._place("A long title about records", page, 3) is None
 
 
 # -- identifiers and text ---------------------------------------------------------------------
