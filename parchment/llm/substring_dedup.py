@@ -270,7 +270,9 @@ def repeated_passages(
     met = durable(sent.groupBy("part").applyInArrow(_met({0, schemes[0][0]}, ranges), "bucket bigint, leader bigint, keys array<bigint>"))
     release(docs.sparkSession)
     found = d.mapInArrow(_members(min_words), f"doc_id {kind}, of bigint, first int, past int, line int, is_line boolean, key bigint")
-    members = durable(found.join(met.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi"))
+    # written out, so that the join's sides are plain shuffles, of which a hot key's can be split
+    wanted = durable(met.select(F.explode("keys").alias("key")).distinct())
+    members = durable(found.join(wanted, "key", "left_semi"))
     release(docs.sparkSession)
 
     buckets = met.where("leader IS NOT NULL").select("bucket", "leader", F.explode("keys").alias("node"))
@@ -288,7 +290,7 @@ def repeated_passages(
     classes = each.groupBy("class").agg(
         F.sum("n").alias("class_paragraphs"), F.count(F.lit(1)).alias("class_docs"), F.min(F.struct("doc_id", "at")).alias("keep")
     )
-    classes = classes.where("class_docs > 1").select("class", F.col("class_paragraphs").cast("int"), F.col("class_docs").cast("int"), "keep")
+    classes = durable(classes.where("class_docs > 1").select("class", F.col("class_paragraphs").cast("int"), F.col("class_docs").cast("int"), "keep"))
     is_first = (F.col("doc_id") == F.col("keep.doc_id")) & (~F.col("is_line") | (F.col("line") == F.col("keep.at.line")) & (F.col("first") == F.col("keep.at.first")))
     rows = classed.join(classes, "class").withColumns({"keep_doc_id": F.col("keep.doc_id"), "kept": is_first}).drop("key", "keep")
     rows = durable(_stretches(rows))
@@ -371,7 +373,7 @@ def _runs(windows: DataFrame, d: DataFrame, kind: str) -> DataFrame:
     short = windows.where(f"high - low < {RUN}")
     # a run that two documents share holds windows of the same class in both
     tested = windows.join(short.select("class").distinct(), "class", "left_semi")
-    by_doc = durable(tested.groupBy(F.col("doc_id").alias("needed_id")).agg(F.collect_set(F.struct("of", "first", "past")).alias("wanted")))
+    by_doc = durable(tested.groupBy(F.col("doc_id").alias("needed_id"), F.col("of").alias("needed_of")).agg(F.collect_set("first").alias("wanted")))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -380,18 +382,17 @@ def _runs(windows: DataFrame, d: DataFrame, kind: str) -> DataFrame:
                 u = Units(b.column(1).slice(k, 1), 1 << 30)
                 n = len(u.words.hash)
                 of = int(u.hashes(np.array([0]), np.array([n])).view(np.int64)[0])
-                for x in b.column(2)[k].as_py():
-                    if x["of"] == of:
-                        at = np.arange(max(0, x["past"] - RUN), min(x["first"], n - RUN) + 1)
-                        ids += [k] * len(at)
-                        ofs += [of] * len(at)
-                        firsts += [x["first"]] * len(at)
-                        hashes.append(u.hashes(at, at + RUN))
+                for first in b.column(3)[k].as_py() if of == b.column(2)[k].as_py() else ():
+                    at = np.arange(max(0, first + WINDOW - RUN), min(first, n - RUN) + 1)
+                    ids += [k] * len(at)
+                    ofs += [of] * len(at)
+                    firsts += [first] * len(at)
+                    hashes.append(u.hashes(at, at + RUN))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(ids, pa.int64())), pa.array(ofs, pa.int64()), pa.array(firsts, pa.int32()), _longs(np.concatenate([*hashes, np.zeros(0, np.uint64)]))], ["doc_id", "of", "first", "run"]
             )
 
-    near = d.join(few(by_doc), F.col("doc_id") == F.col("needed_id")).select("doc_id", "text", "wanted")
+    near = d.join(few(by_doc), F.col("doc_id") == F.col("needed_id")).select("doc_id", "text", "needed_of", "wanted")
     tried = durable(near.mapInArrow(around, f"doc_id {kind}, of bigint, first int, run bigint"))
     shared = tried.groupBy("run").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("run")
     sure = tried.join(shared, "run", "left_semi").select("doc_id", "of", "first").distinct()
