@@ -9,6 +9,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from parchment.llm.common import documents
 from parchment.llm.words import Words, parts
@@ -16,6 +18,8 @@ from parchment.llm.words import Words, parts
 K1, B = 1.2, 0.75
 #: Items of a block of the index; entries of a part's table of block maxima.
 BLOCK, PART = 16, 16 << 20
+#: Bytes of the test items' texts, which the driver holds.
+MOST = 1 << 30
 
 
 @dataclass
@@ -59,6 +63,32 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Short:
+    """Items of too few words for a score, by the hash of their whole run of words."""
+
+    def __init__(self, items: list[tuple], below: int):
+        words = Words(pa.array([t for _, t in items], pa.string()))
+        self.by: dict[int, dict[int, list]] = {}
+        for (item_id, _), low, high in zip(items, words.text_at[:-1].tolist(), words.text_at[1:].tolist(), strict=True):
+            if 0 < high - low < below:
+                key = int(grams(words.hash[low:high], high - low)[0])
+                self.by.setdefault(high - low, {}).setdefault(key, []).append(item_id)
+
+    def found(self, words: Words) -> Iterator[tuple[int, object, int, int]]:
+        """(text, item_id, first word, past word) of the first place of each item in each text."""
+        for n, keys in self.by.items():
+            h = grams(words.hash, n)
+            at = np.flatnonzero(np.isin(h, np.fromiter(keys, np.uint64)))
+            text = np.searchsorted(words.text_at, at, side="right") - 1
+            whole = at + n <= words.text_at[text + 1]
+            seen = set()
+            for t, k in zip(text[whole].tolist(), at[whole].tolist(), strict=True):
+                if (t, h[k]) not in seen:
+                    seen.add((t, h[k]))
+                    first = k - int(words.text_at[t])
+                    yield from ((t, item_id, first, first + n) for item_id in keys[int(h[k])])
+
+
 def build_index(items: list[tuple], min_words: int, gram: int = 3) -> tuple[list[Part], int]:
     """Parts of the index and the words of the longest item. Statistics are those of all items."""
     words = Words(pa.array([t for _, t in items], pa.string()))
@@ -185,23 +215,32 @@ def contaminated(
 
     The index is made of the test items alone. It is cut into parts of bounded size, each
     broadcast and searched by itself; document frequencies are those of all items. The driver
-    holds the items and their frequencies, not anything of the corpus. Nothing is shuffled.
+    holds the items and their frequencies, not anything of the corpus: a set of tests is small
+    beside what it tests, and one of over MOST bytes is refused. Nothing is shuffled.
 
-    Items with fewer than `min_words` words, null or empty ones among them, are not searched,
-    as ordinary text holds them. Null text counts as empty. Equal items are reported each,
+    Items with fewer than `min_words` words can't be scored and are looked up as exact runs of
+    words, with score and overlaps of 1. Null items and items without words are not searched.
+    Null text counts as empty; a text of any length is searched whole. Equal items are reported each,
     repeated rows as often as they stand, null ids as null. Without items or documents the
     result is empty. Further columns of any name are ignored.
     """
     d = documents(docs, id_col, text_col)
     spark = d.sparkSession
+    size = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")))).first()[0] or 0
+    if size > MOST:
+        raise ValueError(f"test items of {size} bytes; split them into tables of at most {MOST}")
     rows = [tuple(r) for r in documents(items, item_col, item_text).orderBy("doc_id", "text").toLocalIterator()]
     index, longest = build_index(rows, min_words)
     item_kind = items.schema[item_col].dataType.simpleString()
+    item_arrow = to_arrow_type(items.schema[item_col].dataType)
     kind = d.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, first_word bigint, past_word bigint"
-    if not index:
+    short = Short(rows, min_words)
+    if not index and not short.by:
         return spark.createDataFrame([], schema)
     out = [d.mapInArrow(_search_batches(spark.sparkContext.broadcast(p), max(8, longest), threshold, overlap), schema) for p in index]
+    if short.by:
+        out.append(d.mapInArrow(_short_batches(spark.sparkContext.broadcast(short), item_arrow), schema))
     whole = out[0]
     for more in out[1:]:
         whole = whole.unionAll(more)
@@ -236,3 +275,25 @@ def _search_batches(shared, stride: int, threshold: float, overlap: float):
                 )
 
     return run
+
+
+def _short_batches(shared, item_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for low, high in parts(b.column(1)):
+                hits = list(shared.value.found(Words(b.column(1).slice(low, high - low))))
+                if hits:
+                    one = pa.array([1.0] * len(hits))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            b.column(0).take(pa.array([low + h[0] for h in hits])),
+                            pa.array([h[1] for h in hits], item_type),
+                            one,
+                            one,
+                            one,
+                            *(pa.array([h[c] for h in hits], pa.int64()) for c in (2, 3)),
+                        ],
+                        ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word", "past_word"],
+                    )
+
+    return run

@@ -9,6 +9,15 @@ import pyarrow.compute as pc
 #: Bytes that make words: letters and digits of ASCII, and every byte of other characters.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Scripts without spaces, whose characters are words of their own: first two bytes from and to, and bytes of a character.
+ALONE = (
+    (0xE0B8, 0xE0BB, 3),  # Thai, Lao
+    (0xE180, 0xE182, 3),  # Myanmar
+    (0xE19E, 0xE19F, 3),  # Khmer
+    (0xE381, 0xE9BF, 3),  # Hiragana, Katakana, Han
+    (0xEFA4, 0xEFAB, 3),  # Han, compatibility forms
+    (0xF0A0, 0xF0B3, 4),  # Han beyond the basic plane
+)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUE = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[str, np.ndarray] = {}
@@ -61,6 +70,8 @@ class Words:
         first[1:] &= ~word[:-1]
         past[:-1] &= ~word[1:]
         inner = edge[1:-1][(edge[1:-1] > 0) & (edge[1:-1] < len(data))]
+        if len(data) and data.max() >= 0xE0:
+            inner = np.concatenate([inner, self._alone(data)])
         first[inner] = word[inner]
         past[inner - 1] = word[inner - 1]
         self.first = np.flatnonzero(first)
@@ -68,6 +79,18 @@ class Words:
         self.hash = self.span_hash(self.first, self.past)
         self.text_at = np.searchsorted(self.first, edge)
 
+    @staticmethod
+    def _alone(data: np.ndarray) -> np.ndarray:
+        """Where characters of scripts without spaces begin and end, but for the edges of the texts."""
+        lead = np.flatnonzero(data >= 0xE0)
+        two = data[lead].astype(np.uint16) << 8 | data[np.minimum(lead + 1, len(data) - 1)]
+        size = np.zeros(len(lead), np.int64)
+        for low, high, n in ALONE:
+            size[(two >= low) & (two <= high)] = n
+        at, size = lead[size > 0], size[size > 0]
+        cut = np.concatenate([at, at + size])
+        return cut[(cut > 0) & (cut < len(data))]
+
     def span_hash(self, first: np.ndarray, past: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal bytes give equal hashes, wherever they stand."""
         if not hasattr(self, "_sum"):

@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter, defaultdict
 
-WORD = re.compile(r"[0-9a-z\u0080-\U0010ffff]+")
+#: Characters that are words of their own: Thai, Lao, Myanmar, Khmer, kana, Han.
+ALONE = "\u0e00-\u0eff\u1000-\u10bf\u1780-\u17ff\u3040-\u9fff\uf900-\ufaff\U00020000-\U00033fff"
+WORD = re.compile(rf"[{ALONE}]|(?:(?![{ALONE}])[0-9a-z\u0080-\U0010ffff])+")
 
 
 def words(text: str | None) -> list[str]:
