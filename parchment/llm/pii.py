@@ -38,7 +38,16 @@ _VALID = {
     "card": f"length({_DIGITS}) between 13 and 19 and luhn_check({_DIGITS})",
     "phone": f"length({_DIGITS}) between 9 and 15",
 }
-_SPAN = "struct<kind:int,wide:int,start:int,stop:int,valid:boolean,digits:int,marks:int,before:int,after:int,cue:int,round:int>"
+_SPELT = r"regexp_replace(regexp_replace(lower(replace(x.h, ' ', '')), '[(\\[]at[)\\]]', '@'), '[(\\[]dot[)\\]]', '.')"
+_QUADS = "regexp_replace(replace(x.h, ' ', ''), ',', '.')"
+#: What makes a wider candidate sound: its normal form passes a strict check. That labels it; no feature sees it.
+_SOUND = {
+    "email": rf"{_SPELT} rlike '^[a-z0-9_%+-]+([.][a-z0-9_%+-]+)*@([a-z0-9]([a-z0-9-]*[a-z0-9])?[.])+[a-z]{{2,24}}$'",
+    "ip": f"forall(split({_QUADS}, '[.]'), x -> length(x) <= 3 and cast(x as int) <= 255 and (x = '0' or left(x, 1) <> '0'))",
+    "card": f"length({_DIGITS}) between 13 and 19 and {_DIGITS} rlike '^[3-6]' and luhn_check({_DIGITS})",
+    "phone": f"{_DIGITS} rlike '^(00[1-9][0-9]{{8,12}}|[2-9][0-9]{{2}}[2-9][0-9]{{6}})$'",
+}
+_SPAN = "struct<kind:int,wide:int,start:int,stop:int,valid:boolean,sound:boolean,digits:int,marks:int,before:int,after:int,cue:int,round:int>"
 
 
 def _class(c: str) -> str:
@@ -48,12 +57,13 @@ def _class(c: str) -> str:
 def _spans(hits: str, gaps: str, kind: str, wide: int) -> str:
     """SQL: the hits as spans. Offsets are running sums of the lengths of gaps and hits."""
     valid = _VALID[kind].replace("(h,", "(x.h,") if not wide else "false"
+    sound = _SOUND[kind].replace("(h,", "(x.h,") if wide else "false"
     digits = _DIGITS.replace("(h,", "(x.h,")
     return f"""case when coalesce(size({hits}), 0) = 0 then cast(array() as array<{_SPAN}>) else aggregate(
  arrays_zip({hits} as h, slice({gaps}, 1, size({hits})) as g, slice({gaps}, 2, size({hits})) as n),
  named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)),
  (s, x) -> named_struct('at', s.at + length(x.g) + length(x.h), 'out', concat(s.out, array(named_struct(
-  'kind', {KINDS.index(kind)}, 'wide', {wide}, 'start', s.at + length(x.g), 'stop', s.at + length(x.g) + length(x.h), 'valid', {valid},
+  'kind', {KINDS.index(kind)}, 'wide', {wide}, 'start', s.at + length(x.g), 'stop', s.at + length(x.g) + length(x.h), 'valid', {valid}, 'sound', {sound},
   'digits', case when length({digits}) = 0 then 0 when length({digits}) < 7 then 1 when length({digits}) < 10 then 2 when length({digits}) = 10 then 3
    when length({digits}) < 13 then 4 when length({digits}) < 16 then 5 when length({digits}) < 20 then 6 else 7 end,
   'marks', least(length(regexp_replace(x.h, '[\\\\p{{L}}0-9]', '')), 5),
@@ -130,9 +140,9 @@ def _best(rows: list[tuple[dict, float, float]]) -> tuple:
 
 
 def fit(table: list[dict]) -> Trees:
-    """Boost on counts: a row for each combination of features and part (held out or not) with n
-    and positives. Thresholds are per kind the least score from which on the held-out spans have
-    the precision; a kind that never gets there adds nothing."""
+    """Boost on counts: a row for each combination of features and part (held out or not, base or
+    not) with n and positives. Thresholds are per kind the least score from which on the held-out
+    spans beside the base have the precision; a kind that never gets there adds nothing."""
     train = [r for r in table if not r["held_out"]]
     n, yes = sum(r["n"] for r in train), sum(r["positives"] for r in train)
     model = Trees(math.log((yes + 1) / (n - yes + 1)), [], {})
@@ -152,7 +162,7 @@ def fit(table: list[dict]) -> Trees:
             inner, a, b = tree[1] if r[test[0]] <= test[1] else tree[2]
             scores[id(r)] += a if inner is None or r[inner[0]] <= inner[1] else b
     for kind in range(len(KINDS)):
-        held = sorted(((model.score(r), r["n"], r["positives"]) for r in table if r["held_out"] and r["kind"] == kind), reverse=True)
+        held = sorted(((model.score(r), r["n"], r["positives"]) for r in table if r["held_out"] and not r["base"] and r["kind"] == kind), reverse=True)
         seen = good = 0
         for i, (p, m, y) in enumerate(held):
             seen, good = seen + m, good + y
@@ -166,21 +176,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Base spans are the leftmost matches of each kind that pass its check (parts up to 255,
     Luhn, numbers of digits). Wider generators propose overlapping spans. Trees are boosted on
-    all of them: a span is a positive if it is, or overlaps, a base span of its kind, which
-    format and context features (never the checks) have to foretell. Features have few levels,
-    so that the whole corpus is summed into a table of at most their product before it reaches
-    the driver. The trees become a SQL expression. Spans over their kind's calibrated threshold
-    that overlap no base span of the kind are `more`.
-
-    Null text counts as empty. Every row stands for itself: repeated rows, null ids and extra
-    columns need no rule. Without any span nothing is fitted and nothing added.
+    base spans, as positives, and on all other candidates that overlap none of their kind: these
+    are positives if their normal form (spelt-out signs written, separators out) passes a strict
+    check, which format and context features, never the checks, have to foretell. Features have few
+    levels, so that the whole corpus is summed into a table of at most their product before it
+    reaches the driver. The trees become a SQL expression. Thresholds are calibrated, kind by kind,
+    on the held-out candidates that could be added. Spans over their threshold are `more`.
+
+    Null text counts as empty; a text of any length is searched whole. Every row stands for itself:
+    repeated rows, null ids and extra columns need no rule. Without any span nothing is fitted and
+    nothing added. An empty table gives an empty result.
     """
     found = spans(docs, id_col, text_col)
     held = F.expr("crc32(cast(doc_id as string)) % 5 = 0").alias("held_out")
-    pool = F.expr("concat(transform(base, b -> named_struct('span', b, 'known', true)), others)")
-    rows = found.select(held, F.explode(pool).alias("c")).select(F.coalesce("held_out", F.lit(False)).alias("held_out"), "c.known", *(f"c.span.{x}" for x in LEVELS))
-    table = rows.groupBy("held_out", *LEVELS).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("known").cast("long")).alias("positives"))
-    model = fit([r.asDict() for r in table.orderBy("held_out", *LEVELS).collect()])
+    pool = F.expr("concat(transform(base, b -> named_struct('span', b, 'base', true)), transform(filter(others, x -> not x.known), x -> named_struct('span', x.span, 'base', false)))")
+    rows = found.select(held, F.explode(pool).alias("c"))
+    rows = rows.select(F.coalesce("held_out", F.lit(False)).alias("held_out"), "c.base", (F.col("c.base") | F.col("c.span.sound")).alias("good"), *(f"c.span.{x}" for x in LEVELS))
+    table = rows.groupBy("held_out", "base", *LEVELS).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("positives"))
+    model = fit([r.asDict() for r in table.orderBy("held_out", "base", *LEVELS).collect()])
     brief = "named_struct('kind', {0}.kind, 'start', {0}.start, 'stop', {0}.stop)"
     over = " or ".join(f"(x.span.kind = {k} and {model.sql('x.span')} >= {t!r}D)" for k, t in model.thresholds.items()) or "false"
     more = f"array_distinct(transform(filter(others, x -> not x.known and ({over})), x -> {brief.format('x.span')}))"
