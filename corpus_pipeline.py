@@ -10,19 +10,15 @@ from parchment.llm.common import durable, table
 from parchment.llm.queries import tokenizer_file
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose doc_id is (left_semi) or isn't (left_anti) in ids; rows without doc_id stay."""
-    right = ids.select(F.col("doc_id").alias("__decided"))
-    match = docs["doc_id"] == right["__decided"]
-    if how == "left_semi":
-        match = match | docs["doc_id"].isNull()
-    return docs.join(right, match, how)
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't in ids; rows without doc_id stay."""
+    return docs.join(ids.select(F.col("doc_id").alias("__decided")), F.col("doc_id") == F.col("__decided"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects (score 0.5 or more) go."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scored.where("predicted = 1").select("doc_id").distinct(), "left_anti")
+    return _without(docs, scored.where("predicted = 1").select("doc_id").distinct())
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +28,13 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates stays."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("NOT kept"), "left_anti")
+    return _without(docs, near_dedup.near_duplicates(docs).where("NOT kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     hits = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, durable(hits.select("doc_id").distinct()), "left_anti")
+    return _without(docs, durable(hits.select("doc_id").distinct()))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
