@@ -37,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.sha2(norm, 256).alias("text_sha256"),
         )
     )
-    shared = digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    shared = durable(digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
     members = digests.join(shared, "hash", "left_semi").select(F.col("doc_id").alias("member"), F.col("hash").alias("claimed")).distinct()
     split = durable(
         d.join(members, F.col("doc_id").eqNullSafe(F.col("member")))
@@ -50,10 +50,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     keyed = digests.join(split, "hash", "left").withColumn("part", F.when(F.col("collides"), F.col("text_sha256")).otherwise(""))
     best = keyed.groupBy("hash", "part").agg(
-        F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("order"), (-F.col("row")).alias("turn"), F.col("doc_id"), F.col("row"))).alias("best"),
+        F.min(F.struct((-F.col("points")).alias("shortness"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    best = best.select("hash", "part", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
+    # written out, so that the join's sides are plain shuffles, of which a hot group's can be split
+    best = durable(best.select("hash", "part", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size"))
     return keyed.join(best, ["hash", "part"]).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
