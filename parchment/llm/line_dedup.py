@@ -7,7 +7,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import documents
+from parchment.llm.common import documents, durable
 
 EDGES = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -30,7 +30,8 @@ def _lost(d: DataFrame, min_points: int, min_docs: int) -> DataFrame:
     keys = F.filter(F.transform(F.split(_ascii_lower(F.col("text")), "\n", -1), _stripped), lambda k: F.length(k) >= min_points)
     lines = d.select("doc_id", F.explode(F.array_distinct(F.transform(keys, _hash))).alias("key"))
     over = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("held_by"), F.max("doc_id").alias("home")).where(F.col("held_by") >= min_docs).select("key", "home")
-    gone = lines.join(over, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("home")))
+    # written out, so that the join's sides are plain shuffles, of which a hot line's can be split
+    gone = lines.join(durable(over), "key").where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("home")))
     return gone.groupBy(F.col("doc_id").alias("__loser")).agg(F.collect_set("key").alias("__lost"))
 
 
@@ -50,7 +51,7 @@ def line_dedup(docs: DataFrame, min_points: int = 20, min_docs: int = 3, id_col:
     Lines are exploded as 128-bit hashes of their keys. The distinct documents of a hash are
     counted with the document in the first exchange's key, so that a line found in a third of
     all documents is counted by every task. What comes back to a document is the set of hashes
-    that it loses, and the lines that stay are joined in their order.
+    that it loses, and the lines that stay are joined in their order. Shared keys are checkpointed.
 
     Null or empty text is one empty line. Rows that repeat a doc_id count as one document and
     lose the same lines. Rows without doc_id count for no threshold and lose every line over
