@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ K1, B = 1.5, 0.75
 BROADCAST_ROWS = 200_000
 #: Vectors of one task and queries of one block of a vector search.
 PART, BLOCK = 4096, 1024
+#: Queries that a lexical search sends to every task, and of one block of them.
+MANY, QUERIES = 4096, 256
 
 
 def ranked(scores: DataFrame, k: int, retriever: str, places: int = 9) -> DataFrame:
@@ -33,10 +36,9 @@ def index_terms(text: Column | str, stop: bool = True, atoms: bool = True) -> Co
     return F.concat(tokens(text, stop), atoms_of(text)) if atoms else tokens(text, stop)
 
 
-def postings(chunks: DataFrame, text_col: str = "text", stop: bool = True, atoms: bool = True) -> DataFrame:
-    """term, chunk_id, tf, dl: term counts are summed before they leave the task."""
-    t = chunks.select("chunk_id", index_terms(text_col, stop, atoms).alias("terms")).withColumn("dl", F.size("terms"))
-    return t.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def postings(terms: DataFrame) -> DataFrame:
+    """term, chunk_id, tf, dl of (chunk_id, dl, terms): counts are summed before they leave the task."""
+    return terms.select("chunk_id", "dl", F.explode("terms").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weighted(post: DataFrame, n: int, mean: float, k1: float = K1, b: float = B) -> DataFrame:
@@ -50,8 +52,8 @@ def weighted(post: DataFrame, n: int, mean: float, k1: float = K1, b: float = B)
 class LexicalIndex:
     """BM25 over chunks (chunk_id, text). `postings` carries weights: a dot product with a query's term counts is the score.
 
-    Chunks are tokenised once; their postings are a checkpoint that document frequencies, totals
-    and all searches read. With `mode` (prepend, source or strip) the rows are assembled chunks and
+    Chunks are tokenised once; their terms are a checkpoint that totals and all searches read. A
+    search counts only the terms that its queries name. With `mode` (prepend, source or strip) the rows are assembled chunks and
     the mode says how their heading takes part; `atoms` adds identifiers as terms of their own.
     """
 
@@ -59,13 +61,14 @@ class LexicalIndex:
         if mode:
             chunks, text_col = index_text(chunks, mode), "index_text"
         self.stop, self.atoms, self.k1, self.b = stop, atoms, k1, b
-        self.raw = durable(postings(chunks, text_col, stop, atoms))
-        self.n = chunks.count()
-        self.mean = (self.raw.agg(F.sum("tf")).first()[0] or 0) / max(1, self.n) or 1.0
+        held = chunks.select("chunk_id", index_terms(text_col, stop, atoms).alias("terms"))
+        self.terms = durable(held.select("chunk_id", F.size("terms").alias("dl"), "terms"))
+        size = self.terms.agg(F.count(F.lit(1)), F.avg("dl")).first()
+        self.n, self.mean = size[0], size[1] or 1.0
 
     @property
     def postings(self) -> DataFrame:
-        return weighted(self.raw, self.n, self.mean, self.k1, self.b)
+        return weighted(postings(self.terms), self.n, self.mean, self.k1, self.b)
 
     def query_vectors(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """query_id, term, qtf: repeated terms count."""
@@ -76,11 +79,74 @@ class LexicalIndex:
         few = queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         # only the queries' terms take part: the filter comes before document frequencies
         terms = q.select("term").distinct()
-        post = weighted(self.raw.join(F.broadcast(terms) if few else terms, "term", "left_semi"), self.n, self.mean, self.k1, self.b)
+        named = self.terms.select("chunk_id", "dl", F.explode("terms").alias("term")).join(F.broadcast(terms) if few else terms, "term", "left_semi")
+        post = weighted(named.groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf")), self.n, self.mean, self.k1, self.b)
         return post.join(F.broadcast(q) if few else q, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score")).where("score > 0")
 
     def search(self, queries: DataFrame, k: int, text_col: str = "text", name: str = "bm25") -> DataFrame:
-        return ranked(self.scores(queries, text_col), k, name)
+        """The best k chunks of each query.
+
+        Up to MANY queries go to every task, in blocks of QUERIES: a task multiplies the weights of
+        its chunks with the block and sends its best k of each query. Of more queries all scores
+        are formed and shuffled by query.
+        """
+        if queries.limit(MANY + 1).count() > MANY:
+            return ranked(self.scores(queries, text_col), k, name)
+        q = durable(self.query_vectors(queries, text_col))
+        terms = self.terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(q.select("term").distinct()), "term", "left_semi")
+        df = {r["term"]: r["df"] for r in terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
+        kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, "query_id"), (self.terms, "chunk_id"))]
+        shared = self.terms.sparkSession.sparkContext.broadcast(self._blocks(q, df))
+        found = self.terms.mapInArrow(_best(shared, k, self.k1, self.b, self.mean), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+        return ranked(found, k, name)
+
+    def _blocks(self, q: DataFrame, df: dict[str, int]) -> list[tuple]:
+        """(query ids, terms, idf x query counts as term x query) of QUERIES queries each."""
+        by: dict = {}
+        for r in q.collect():
+            if r["term"] in df:
+                by.setdefault(r["query_id"], []).append((r["term"], r["qtf"]))
+        ids, out = sorted(by), []
+        for at in range(0, len(ids), QUERIES):
+            some = ids[at : at + QUERIES]
+            names = sorted({t for i in some for t, _ in by[i]})
+            place, m = {t: n for n, t in enumerate(names)}, np.zeros((len(names), len(some)))
+            for n, i in enumerate(some):
+                for t, count in by[i]:
+                    m[place[t], n] = count * np.log(1 + (self.n - df[t] + 0.5) / (df[t] + 0.5))
+            out.append((some, names, m))
+        return out
+
+
+def _best(shared, k: int, k1: float, b: float, mean: float):
+    """Of the chunks (chunk_id, dl, terms) of each batch the best k for every query of the blocks."""
+
+    def run(batches):
+        blocks = [(pa.array(ids), pa.array(names, pa.string()), m) for ids, names, m in shared.value]
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch, [("chunk_id", "ascending")]))
+            for ids, names, m in blocks:
+                step = max(64, (8 << 20) // max(1, len(names)))
+                for low in range(0, batch.num_rows, step):
+                    part = batch.slice(low, step)
+                    lists = part.column("terms")
+                    which = pc.index_in(lists.flatten(), value_set=names)
+                    row = np.repeat(np.arange(part.num_rows), np.asarray(pc.list_value_length(lists)))
+                    known = np.asarray(which.is_valid())
+                    key, tf = np.unique(row[known] * len(names) + np.asarray(which.drop_null()).astype(np.int64), return_counts=True)
+                    row, column = key // len(names), key % len(names)
+                    dl = np.asarray(part.column("dl")).astype(float)[row]
+                    w = np.zeros((part.num_rows, len(names)))
+                    w[row, column] = tf / (tf + k1 * (1 - b + b * dl / mean))
+                    scores = np.round((w @ m).T, 9)
+                    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    value = np.take_along_axis(scores, best, 1)
+                    query, place = np.nonzero(value > 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(query)), part.column("chunk_id").take(pa.array(best[query, place])), pa.array(value[query, place])], ["query_id", "chunk_id", "score"]
+                    )
+
+    return run
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
