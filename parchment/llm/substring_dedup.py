@@ -314,7 +314,8 @@ def repeated_passages(
 def _sets(edges: DataFrame, members: DataFrame, d: DataFrame, min_words: int) -> DataFrame:
     """(key, shingles) of the paragraphs that edges name, cut from one document of each."""
     ends = edges.select(F.col("leader").alias("key")).unionAll(edges.select("member")).distinct()
-    one = members.join(ends, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("needed_id"))
+    # summed before it is shuffled: a passage of very many documents is one row of each task
+    one = members.groupBy("key").agg(F.min("doc_id").alias("needed_id")).join(ends, "key", "left_semi")
     by_doc = durable(one.groupBy("needed_id").agg(F.collect_list("key").alias("wanted")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +373,7 @@ def _runs(windows: DataFrame, d: DataFrame, kind: str) -> DataFrame:
     """The runs of words that touching windows with the same keep_doc_id cover."""
     short = windows.where(f"high - low < {RUN}")
     # a run that two documents share holds windows of the same class in both
-    tested = windows.join(short.select("class").distinct(), "class", "left_semi")
+    tested = windows.join(durable(short.select("class").distinct()), "class", "left_semi")
     by_doc = durable(tested.groupBy(F.col("doc_id").alias("needed_id"), F.col("of").alias("needed_of")).agg(F.collect_set("first").alias("wanted")))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
