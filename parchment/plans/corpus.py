@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parchment.functions.identifiers import extract
+from parchment.functions.text import WHITE
 from parchment.operators import chunking, dedup, evalset, fusion, metrics, needles, providers, retrieval
 from parchment.operators import sections as sec
 from parchment.plans.literals import literal, values
@@ -288,7 +289,20 @@ def fusion_minmax(spark, sf):
     return shown(fusion.minmax(_lists(spark, sf), {"sparse": 1.0, "dense": 1.0}, 10))
 
 
-@query()
+#: The offline embedder: each token adds 1 or -1 at a place, both named by its MD5; unit length.
+HASHED = """SELECT {id}, list(v / norm ORDER BY i) AS vec FROM (SELECT {id}, i, v, sqrt(sum(v * v) OVER (PARTITION BY {id})) AS norm FROM (
+ SELECT g.{id}, g.i, coalesce(sum(t.v), 0) AS v FROM (SELECT DISTINCT {id}, unnest(range(0, 64)) AS i FROM {t}) g LEFT JOIN (SELECT {id}, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 64 AS i,
+ CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1.0 ELSE -1.0 END::DOUBLE AS v FROM {t}) t ON t.{id} = g.{id} AND t.i = g.i GROUP BY 1, 2)) WHERE norm > 0 GROUP BY {id}"""
+QTERMS = f"(SELECT item_id AS query_id, unnest({sql_tokens('text')}) AS term FROM benchmark)"
+
+
+@query(
+    f"""{BM25}, cv AS MATERIALIZED ({HASHED.format(id="chunk_id", t="tok")}), qv AS MATERIALIZED ({HASHED.format(id="query_id", t=QTERMS)}),
+hd AS (SELECT query_id, chunk_id, round(list_sum(list_transform(range(1, 65), lambda i: qv.vec[i] * cv.vec[i])), 9) AS score FROM qv, cv),
+hr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hd),
+hs AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS s FROM (SELECT query_id, chunk_id, rank FROM hr WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 100) GROUP BY 1, 2)
+SELECT query_id, 'hybrid' AS retriever, chunk_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM hs) WHERE rank <= 10"""
+)
 def hybrid_topk(spark, sf):
     c, q = chunks(spark, sf), questions(spark, sf)
     index = retrieval.LexicalIndex(c)
@@ -389,7 +403,14 @@ def _sections(spark, sf):
     return chunking.line_sections(table(spark, sf, "documents"))
 
 
-@query()
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS idx, len(string_split(text, chr(10))) AS n FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, idx, array_to_string(string_split(line, ' ')[1:4], ' ') AS heading, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+ length(line) + CASE WHEN idx = n - 1 THEN 0 ELSE 1 END AS size FROM l),
+k AS (SELECT *, count(*) OVER (PARTITION BY lower(trim(regexp_replace(heading, '{WHITE}+', ' ', 'g')))) AS held, doc_id || ':' || idx AS id FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY md5('20260813:' || id), id) - 1 AS n FROM k WHERE held = 1 AND length(trim(heading)) >= 18 AND size >= 400)
+SELECT 'section-' || lpad(CAST(n AS VARCHAR), 4, '0') AS query_id, 'section_lookup' AS slice, trim(heading) AS query, doc_id, CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop FROM o WHERE n < 60"""
+)
 def evalset_sections(spark, sf):
     s = evalset.section_lookup(_sections(spark, sf))
     return s.select("query_id", "slice", "query", F.col("spans")[0].alias("s")).select("query_id", "slice", "query", "s.doc_id", "s.start", "s.stop")
@@ -410,6 +431,12 @@ def evalset_titles(spark, sf):
     return evalset.exploded(evalset.title_lookup(d)).select("query_id", "doc_id", "stop")
 
 
-@query()
+@query(
+    f"""WITH c AS (SELECT i AS id, md5('20260813:unanswerable:' || i) AS h FROM range(0, 240) AS r(i)),
+k AS (SELECT ([7, 9, 16, 21, 40, 42, 45])[CAST('0x' || substr(h, 1, 7) AS BIGINT) % 7 + 1] || ' CFR ' || (CAST('0x' || substr(h, 8, 7) AS BIGINT) % 1900 + 100) || '.' || (CAST('0x' || substr(h, 15, 7) AS BIGINT) % 99 + 1) AS canonical, id FROM c),
+p AS (SELECT unnest(regexp_extract_all(regexp_replace(text, '[Cc][Ff][Rr]', 'CFR', 'g'), '[0-9]+ CFR [0-9]+[.][0-9]+')) AS canonical FROM {values("identifier_text")}),
+u AS (SELECT canonical, min(id) AS id FROM k WHERE canonical NOT IN (SELECT canonical FROM p) GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS n FROM u)
+SELECT 'unans-' || lpad(CAST(n AS VARCHAR), 4, '0') AS query_id, 'unanswerable' AS slice, 'What are the requirements of ' || canonical || '?' AS query FROM o WHERE n < 60"""
+)
 def evalset_unanswerable(spark, sf):
     return evalset.unanswerable(extract(literal(spark, "identifier_text"))).select("query_id", "slice", "query")

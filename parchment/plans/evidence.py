@@ -45,9 +45,19 @@ def citation_verify(spark, sf):
     return _checks(spark).select("claim_id", "chunk_id", "method", "found_in")
 
 
-@query()
+#: The words of a quote with any white space between them; in the last tier also with integers beside line ends.
+SPACED = f"replace(regexp_escape({flat('t.quote')}), '\\ ', '{WS}')"
+NUMBERED = f"replace(regexp_escape({bare('t.quote')}), '\\ ', '(?:{t.WHITE}|{t.WHITE}[0-9]+[ \t]*\n|\n[ \t]*[0-9]+{t.WHITE})+')"
+
+
+@query(
+    f"""WITH {VERIFY}, f AS (SELECT t.claim_id, b.method AS tier, s.text, t.quote, b.own, b.tried, CASE b.method WHEN 'exact' THEN t.quote WHEN 'normalized' THEN regexp_extract(s.text, {SPACED}) ELSE regexp_extract(s.text, {NUMBERED}) END AS matched
+ FROM t JOIN b USING (claim_id) JOIN {C} s ON s.chunk_id = b.tried WHERE b.n = 1)
+SELECT v.claim_id, v.method, CAST(strpos(f.text, f.matched) - 1 AS BIGINT) AS start, CAST(strpos(f.text, f.matched) - 1 + length(f.matched) AS BIGINT) AS stop, f.matched AS matched_text, v.found_in FROM v LEFT JOIN f USING (claim_id)"""
+)
 def citation_spans(spark, sf):
-    return _checks(spark).select("claim_id", "method", "start", "stop", "matched_text", "found_in")
+    c = _checks(spark)
+    return c.select("claim_id", "method", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"), "matched_text", "found_in")
 
 
 METHODS = ", ".join(f"('{m}')" for m in citations.METHODS)

@@ -217,7 +217,10 @@ def embedding_input(spark, sf):
     return literal(spark, "pages").select("doc_id", "page", t.for_embedding("text").alias("text"))
 
 
-@query()
+@query(
+    """WITH d AS (SELECT doc_id, len(string_split(text, chr(10))) AS s, length(text) AS n FROM documents)
+SELECT doc_id, CASE WHEN s = 0 THEN 'no sections' WHEN s * 1000 > 2 * n THEN 'over 2 sections per 1000 characters' ELSE 'under 100 characters per page' END AS problem FROM d WHERE s = 0 OR s * 1000 > 2 * n OR n < 300"""
+)
 def extraction_outliers(spark, sf):
     d = table(spark, sf, "documents")
     return stats.extraction_outliers(d.select("doc_id", F.size(F.split("text", "\n")).alias("n_sections"), F.length("text").alias("n_chars"), F.lit(3).alias("n_pages")))
