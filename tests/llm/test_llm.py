@@ -528,7 +528,14 @@ def test_pipeline(spark, sf, tmp_path):
     assert got == {tuple(r) for r in d.collect()}
 
 
+def test_pipeline_of_an_empty_table(spark, sf):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs(spark, []), sf)
+        assert out.count() == 0 and (k == 4 or out.columns == docs(spark, []).columns), name
+
+
 def test_pipeline_keeps_odd_rows(spark, sf):
+    assert corpus_pipeline.tokenize(spark, docs(spark, ODD), sf).count() == len(ODD)
     for _, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs(spark, ODD), sf)
         assert out.columns == docs(spark, ODD).columns
