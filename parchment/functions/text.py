@@ -207,6 +207,18 @@ def strip_tags(c: Column | str) -> Column:
     return F.trim(text)
 
 
+def clipped(c: Column | str, limit: int) -> Column:
+    """Collapsed text of at most `limit` characters, cut between words and marked where it is cut."""
+    return let(collapsed(c), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(F.substring(flat, 1, limit), " [^ ]*$", ""), F.lit("…"))))
+
+
+def document_label(pair_id: Column | str) -> Column:
+    """What names a pair's document to a reader: its registry id if it has one, else the id of the document."""
+    doc = F.split_part(col(pair_id), F.lit("::"), F.lit(1))
+    registry = F.regexp_extract(doc, "(?:^|-)(NCT[^-]*)", 1)
+    return F.when(registry != "", registry).otherwise(doc)
+
+
 def normal_title(c: Column | str) -> Column:
     t = F.regexp_replace(F.lower(col(c)), r"\b(draft|final|revision\s*[0-9]*|rev\.?\s*[0-9]*|guidance for industry)\b", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 ]+", " "), " +", " "))

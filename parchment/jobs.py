@@ -162,7 +162,7 @@ def answer_run(queries: DataFrame, chunks: DataFrame, generator, judgments: Data
     outcomes = durable(answers.answered(prompts, generator).join(q.select("query_id", "slice"), "query_id"))
     checks = durable(answers.checked(outcomes, hits, chunks))
     out = {
-        "outcomes": outcomes, "checks": checks, "buckets": citations.buckets(checks), "precision": citations.precision(checks, "answer_id"), "refusals": stats.refusals(outcomes),
+        "outcomes": outcomes, "checks": checks, "buckets": citations.buckets(checks), "precision": citations.precision(checks, "answer_id"), "mean": citations.mean_precision(checks, "answer_id"), "refusals": stats.refusals(outcomes),
         "answerable": stats.answerable_refusal(outcomes),
     }
     if judgments is not None and agreement is not None:

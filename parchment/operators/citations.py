@@ -80,6 +80,12 @@ def precision(checks: DataFrame, by: str) -> DataFrame:
     return checks.groupBy(by).agg(n.alias("claimed"), good.alias("verified"), F.try_divide(good, n).alias("precision"), ((n > 0) & (good == n)).alias("grounded"))
 
 
+def mean_precision(checks: DataFrame, by: str) -> DataFrame:
+    """One row: answers with citations, the mean of their precisions, and how many are grounded."""
+    p = precision(checks, by)
+    return p.agg(F.count("precision").alias("answers"), F.avg("precision").alias("mean_precision"), F.count_if("grounded").alias("grounded"))
+
+
 def line_number_exposure(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: chunks, how many lose digits when line numbers go, digits before and after."""
 

@@ -40,6 +40,13 @@ def estimated_cost(requests_: DataFrame, price_in: float, price_out: float, cach
     )
 
 
+def blurb_schema(n: int) -> dict:
+    """JSON schema of a response with one blurb for each of n excerpts, none left out and none invented."""
+    names = [f"{i}" for i in range(1, n + 1)]
+    one = {"type": "string", "maxLength": MAX_BLURB}
+    return {"type": "object", "properties": dict.fromkeys(names, one), "required": names, "additionalProperties": False}
+
+
 def parsed_blurbs(raw: DataFrame) -> DataFrame:
     """chunk_id, blurb from model JSON, cut to length; empty ones and repeats after the first are left out."""
     r = raw.select("custom_id", F.posexplode(F.from_json("response", "struct<blurbs:array<struct<chunk_id:string,blurb:string>>>")["blurbs"]).alias("n", "b"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import coverage, line_number_density
-from parchment.operators.citations import VERIFIED, evidence_spread
+from parchment.operators.citations import MIN_QUOTE, VERIFIED, evidence_spread
 from parchment.sources.files import durable
 
 # Shortest answer, widest spread, overlap of redundant answers, line density, coverage, draft budget.
@@ -107,6 +107,21 @@ def drafting_sources(docs: DataFrame) -> DataFrame:
     return docs.where(line_number_density("text") <= MAX_DENSITY)
 
 
+def draft_prompts(chunks: DataFrame, n: int, budget: int = BUDGET, least_quote: int = MIN_QUOTE) -> DataFrame:
+    """doc_id, system, prompt: what a drafter is asked for each document. It sees the texts that quotes
+    are located in, and the floors that answers and quotes are held to."""
+    total = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    block = F.concat(F.lit("["), F.col("chunk_id").cast("string"), F.lit("]\n"), F.col("text"))
+    shown = stride_selected(chunks, budget).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))).alias("bs"))
+    part = F.when(F.size("bs") < F.col("total"), F.format_string(" (%d of %d excerpts, spread evenly)", F.size("bs"), F.col("total"))).otherwise("")
+    prompt = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), part, F.lit(f".\n\nWrite {n} pairs.\n\n"), F.array_join(F.transform("bs", lambda x: x["b"]), "\n\n"))
+    system = (
+        f"Write question and answer pairs from the excerpts alone. Answers have at least {MIN_ANSWER} characters. Each piece of evidence names"
+        f" its excerpt and quotes at least {least_quote} characters of it word for word. Reply with JSON: pairs of question, answer and evidence."
+    )
+    return shown.join(total, "doc_id").select("doc_id", F.lit(system).alias("system"), prompt.alias("prompt"))
+
+
 def document_index(chunks: DataFrame) -> DataFrame:
     """doc_id and the text of its chunks in order, white space collapsed, for containment tests."""
     from parchment.functions.text import collapsed

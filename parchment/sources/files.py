@@ -49,9 +49,29 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
 
 
-def write_jsonl(rows: DataFrame, path: str, key: str) -> None:
-    """Sorted by key and with columns in order of name, so that equal tables give equal files; parts follow the order."""
-    rows.select(*sorted(rows.columns)).orderBy(key).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_jsonl(rows: DataFrame, path: str, key: str, one_file: bool = False) -> None:
+    """Sorted by key and with columns in order of name, so that equal tables give equal files; parts
+    follow the order. one_file is for tables that one task can sort, such as manifests."""
+    out = rows.select(*sorted(rows.columns))
+    out = out.coalesce(1).sortWithinPartitions(key) if one_file else out.orderBy(key)
+    out.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+GOLDEN = "pair_id string, doc_id string, question string, answer string, evidence array<struct<chunk_id:string,quote:string>>, shape string, answerable boolean, status string, reason string, evidence_methods array<string>"
+
+
+def write_golden(pairs: DataFrame, path: str) -> None:
+    """Reference pairs, rejected ones too: what was rejected and why is what explains the yield."""
+    write_jsonl(pairs, path, "pair_id", one_file=True)
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs with defaults for what older files lack: answerable, a draft, without reason and methods."""
+    p = read_jsonl(spark, path, T.StructType.fromDDL(GOLDEN))
+    none = F.array().cast("array<string>")
+    return p.withColumns(
+        {"answerable": F.coalesce("answerable", F.lit(True)), "status": F.coalesce("status", F.lit("draft")), "reason": F.coalesce("reason", F.lit("")), "evidence_methods": F.coalesce("evidence_methods", none)}
+    )
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

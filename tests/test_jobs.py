@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parchment import jobs, reports
 from parchment.functions import identifiers, text
-from parchment.operators import chunking, citations, dedup, golden, judge, retrieval, sections, stats, store
+from parchment.operators import chunking, citations, contextual, dedup, golden, judge, retrieval, sections, stats, store
 from parchment.plans.literals import LOREM, literal
 from parchment.sources import files
 
@@ -257,3 +257,29 @@ def test_controls_and_layers(spark):
     assert judge.round_robin(spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "g string, i int"), "g", "i").count() == 3
     assert stats.most(spark.createDataFrame([(1, 5), (2, 5), (3, 9)], "k int, v int"), "v", "k", 2).collect()[1].k == 1
     assert sections.sectioned(literal(spark, "pages")).count() == sections.from_pages(literal(spark, "pages")).count()
+
+
+def test_labels_and_clips(spark):
+    assert column(spark, ["a  bb ccc dddd", "short", ""], lambda c: text.clipped(c, 7)) == ["a bb…", "short", ""]
+    assert column(spark, ["x-NCT02942264-Prot_000::g::016", "fda-75426::g::085"], text.document_label) == ["NCT02942264", "fda-75426"]
+
+
+def test_golden_files(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text('{"pair_id":"b","question":"q","answer":"a","evidence":[{"chunk_id":"c","quote":"x"}],"doc_id":"d","shape":"fact","status":"rejected","reason":"no"}\n{"pair_id":"a"}\n')
+    g = files.read_golden(spark, str(tmp_path / "g.jsonl"))
+    files.write_golden(g, str(tmp_path / "out"))
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in f.read_text().splitlines()]
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1 and ['"pair_id":"a"' in lines[0], '"status":"draft"' in lines[0], '"status":"rejected"' in lines[1]] == [True] * 3
+    assert files.read_golden(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_drafts_are_asked_for_what_is_checked(spark):
+    c = spark.createDataFrame([(f"c{i}", 1, i, "word " * 10) for i in range(6)], "chunk_id string, doc_id bigint, pos bigint, text string")
+    r = golden.draft_prompts(c, 3, budget=120).first()
+    assert str(golden.MIN_ANSWER) in r.system and str(citations.MIN_QUOTE) in r.system
+    assert "excerpts, spread evenly" in r.prompt and "[c0]" in r.prompt and "Write 3 pairs" in r.prompt
+    checks = spark.createDataFrame([("x", "exact"), ("x", "unverified"), ("y", "exact"), ("z", None)], "answer_id string, method string")
+    m = citations.mean_precision(checks, "answer_id").first()
+    assert (m.answers, m.mean_precision, m.grounded) == (2, 0.75, 1)
+    schema = contextual.blurb_schema(2)
+    assert schema["required"] == ["1", "2"] and schema["additionalProperties"] is False
