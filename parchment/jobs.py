@@ -103,14 +103,26 @@ def retrievers(chunks: DataFrame, queries: DataFrame, ablations: bool = True, we
     vec = embedder.documents(chunks.select(F.col("chunk_id").alias("key"), F.col("embed_text").alias("text"))).select(F.col("key").alias("chunk_id"), F.col("embedding").alias("vec")).where("vec IS NOT NULL")
     vec = durable(vec)
     qvec = embedder.queries(q.select(F.col("query_id").alias("key"), "text")).select(F.col("key").alias("query_id"), F.col("embedding").alias("qvec")).where("qvec IS NOT NULL")
-    out = {"bm25": lambda k: sparse.search(q, k), "dense": lambda k: retrieval.dense_search(qvec, vec, k)}
+    deep, lists = max(fusion.FETCH, candidates), {}
+
+    def once(name: str, search):
+        """Each list is made once, to the depth that fusion and reranking fetch; a shorter one is its beginning."""
+
+        def cut(k: int) -> DataFrame:
+            if name not in lists:
+                lists[name] = durable(search(deep))
+            return lists[name].where(F.col("rank") <= k) if k <= deep else search(k)
+
+        return cut
+
+    out = {"bm25": once("bm25", lambda k: sparse.search(q, k)), "dense": once("dense", lambda k: retrieval.dense_search(qvec, vec, k))}
     if ablations:
         for name, index in (
             ("bm25 -atoms", {"atoms": False, "mode": "prepend"}), ("bm25 heading=source", {"mode": "source"}), ("bm25 heading=strip", {"mode": "strip"}),
         ):
             out[name] = lambda k, kw=index: retrieval.LexicalIndex(chunks, **kw).search(q, k)
     pair = lambda: [out["bm25"](fusion.FETCH), out["dense"](fusion.FETCH)]
-    out["hybrid rrf"] = lambda k: fusion.rrf(pair(), k)
+    out["hybrid rrf"] = once("hybrid rrf", lambda k: fusion.rrf(pair(), k))
     for w in weights:
         share = {"bm25": 1 - w, "dense": w}
         out[f"hybrid wrrf {w:g}"] = lambda k, s=share: fusion.weighted_rrf(pair(), s, k)
