@@ -30,6 +30,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint without Catalyst's estimate of its size, for loops over checkpoints.
+
+    A checkpoint keeps the estimate of the plan that it cuts, and a join's is the product of its
+    sides'. From round to round the estimate's digits double, until the driver's memory is full.
+    """
+    spark, kept = df.sparkSession, df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.rdd(), df._jdf.schema(), False), spark)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files whose result is checkpointed: Spark deletes them when the driver
     collects its garbage, which it would else do twice an hour."""

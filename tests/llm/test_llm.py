@@ -137,6 +137,14 @@ def test_components(spark):
     assert {tuple(r) for r in components.components(e).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7), (9, 7)}
 
 
+def test_rounds_of_components_leave_plans_small(spark):
+    path = spark.range(300).selectExpr("id AS a", "id + 1 AS b")
+    got = components.components(path)
+    assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(301)}
+    # the estimate that the driver keeps for the next plan, which doubled its digits with each round
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+
+
 # -- SentencePiece ----------------------------------------------------------------------------
 
 
