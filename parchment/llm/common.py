@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import tempfile
+import time
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +59,43 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
+#: What this Python worker keeps from task to task, all of one operator; the operator; when freed memory was last given back.
+_kept: dict[Any, Any] = {}
+_turn = ["", 0.0]
+#: Tables that an operator keeps at most; least seconds from giving memory back to doing so again.
+KEEP, EVERY = 2, 1.0
+
+
+def turn(operator: str) -> None:
+    """To be called where an operator's Python functions begin: the worker is this operator's now.
+
+    Workers outlive stages, and so would the tables of every operator that had one, each beside
+    the next one's. Those of others go here, and what is freed goes back to the machine, which
+    the allocators would else keep.
+    """
+    now = time.monotonic()
+    if _turn[0] == operator and now - _turn[1] < EVERY:
+        return
+    if _turn[0] != operator:
+        _kept.clear()
+    _turn[:] = [operator, now]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # other C libraries
+        pass
+
+
+def kept(operator: str, key: Any, make: Callable[[], Any]) -> Any:
+    """A table of the operator that has its turn, made once and kept until another operator's turn."""
+    turn(operator)
+    if key not in _kept:
+        while len(_kept) >= KEEP:
+            del _kept[next(iter(_kept))]
+        _kept[key] = make()
+    return _kept[key]
+
+
 def corpus_size(docs: DataFrame) -> tuple[int, int]:
     """Rows and UTF-8 bytes of text."""
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from parchment.llm.common import documents
+from parchment.llm.common import documents, turn
 from parchment.llm.words import Words, parts
 
 K1, B = 1.2, 0.75
@@ -249,6 +249,7 @@ def contaminated(
 
 def _search_batches(shared, stride: int, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("decontamination")
         part: Part = shared.value
         for b in batches:
             best: dict[tuple[int, int], tuple] = {}
@@ -279,6 +280,7 @@ def _search_batches(shared, stride: int, threshold: float, overlap: float):
 
 def _short_batches(shared, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("decontamination")
         for b in batches:
             for low, high in parts(b.column(1)):
                 hits = list(shared.value.found(Words(b.column(1).slice(low, high - low))))

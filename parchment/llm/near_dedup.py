@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import corpus_size, documents, durable, few, groups_for, release
+from parchment.llm.common import corpus_size, documents, durable, few, groups_for, kept, release, turn
 from parchment.llm.components import components
 from parchment.llm.tiles import Forest, meetings, products
 from parchment.llm.words import Words, mixed, parts
@@ -23,7 +22,6 @@ TABLE = 15
 GROUP, RANGE, FAN = 4 << 20, 8 << 20, 128
 
 
-@lru_cache(maxsize=2)
 def _variates(samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """r ~ Gamma(2, 1), ln c with c ~ Gamma(2, 1), beta ~ U(0, 1), and a multiplier for each sample."""
     g = np.random.default_rng(20100213)
@@ -52,7 +50,7 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, count:
     sets draw the same with a probability of their weighted Jaccard similarity. An element's
     variates stand in a table at its hash times the sample's multiplier.
     """
-    r, lnc, beta, factor = _variates(count)
+    r, lnc, beta, factor = kept("near_dedup", count, lambda: _variates(count))
     logs = np.log(weights).astype(np.float32)
     usual = np.float32(np.median(logs)) if len(logs) else np.float32(0)
     odd = np.flatnonzero(logs != usual)
@@ -187,6 +185,7 @@ def _across(apart: DataFrame, texts: DataFrame, threshold: float, kind: str) ->
     dealt = apart.join(texts.withColumnRenamed("doc_id", "node"), "node")
 
     def run(key, t):
+        turn("near_dedup")
         t = t.sort_by("node").combine_chunks()
         ids = t.column("node")
         vectors = _weighted(t.column("text").chunk(0), t.column("codes").chunk(0))
@@ -237,6 +236,7 @@ def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
         return out.view(">u8").ravel().astype(np.uint64)
 
     def send(key, t):
+        turn("near_dedup")
         _, h, _, _ = _vectors(_unique_texts(t)[1])
         at = _runs(h)
         h, df = h[at], np.diff(np.concatenate([at, [len(h)]]))
@@ -253,6 +253,7 @@ def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
         )
 
     def count(key, t):
+        turn("near_dedup")
         sent = [unpack(x) for x in t.column("hashes")]
         df = [np.frombuffer(x.as_buffer(), np.uint32) if len(x.as_buffer()) else np.ones(len(h), np.uint32) for x, h in zip(t.column("df"), sent, strict=True)]
         h, df = np.concatenate(sent), np.concatenate(df)
@@ -270,6 +271,7 @@ def _codes(dealt: DataFrame, n: int, ranges: int) -> DataFrame:
 
 def _profile(bands: int, rows: int):
     def run(key, left, right):
+        turn("near_dedup")
         ids, texts = _unique_texts(left)
         text, h, tf, words = _vectors(texts)
         right = right.combine_chunks().sort_by("part")
@@ -336,6 +338,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, kind: str) -
     each = texts.join(salted, F.col("doc_id") == F.col("member")).select("leader", "salt", "member", "text", "codes")
 
     def run(key, t):
+        turn("near_dedup")
         member = t.column("member").combine_chunks()
         lead = int(np.flatnonzero(np.asarray(member.is_null()))[0])
         rows = t.combine_chunks()

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from parchment.llm.common import documents
+from parchment.llm.common import documents, kept
 
 SPACE = "▁"
 #: Cached units; the cache starts anew when it is full.
@@ -179,9 +178,8 @@ class PrefixTable:
             return "".join(out)
 
 
-@lru_cache(maxsize=2)
 def prefix_table(model: str) -> PrefixTable:
-    return PrefixTable(model)
+    return kept("pieces", model, lambda: PrefixTable(model))
 
 
 def roundtrip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import documents, durable
+from parchment.llm.common import documents, durable, turn
 from parchment.llm.words import Words, parts
 
 #: Bits of a term's bucket; lengths in bytes of the beginnings of words that are terms.
@@ -122,6 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         total[r["toxic"]] += r["count"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for b in batches:
             y = np.asarray(b.column(2))
             for low, high in parts(b.column(1)):
@@ -139,6 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     shape.column[buckets] = np.arange(len(buckets))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for b in batches:
             for low, high in parts(b.column(1)):
                 text, column, x = shape.rows(b.column(1).slice(low, high - low))
@@ -171,6 +173,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: s
     kind = d.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for b in batches:
             for low, high in parts(b.column(1)):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(model.score(b.column(1).slice(low, high - low)))], ["doc_id", "score"])
