@@ -150,6 +150,30 @@ def test_clusters(spark):
     assert got[0].similarity_floor < 1
 
 
+def test_all_pairs_of_a_cluster(spark):
+    # the least id is similar to both others, which are similar to each other too
+    body = [f"word{i}" for i in range(200)]
+    texts = [" ".join(body), " ".join([*body[:-1], "changed"]), " ".join(["changed", *body[1:]]), " ".join(body[:20])]
+    d = spark.createDataFrame(list(enumerate(texts, 1)), "id bigint, text string")
+    assert {(r.a, r.b) for r in dedup.pairs(d).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+@pytest.mark.parametrize("t", [0.5, 0.85, 1.0])
+def test_no_similar_pair_lacks_a_shared_key(spark, t):
+    import random
+
+    rng, rows = random.Random(7), []
+    for i in range(0, 1200, 2):
+        n = rng.choice([1, 2, 3, 5, 6, 7, 8, 12, 13, 20, 40, 47, 333])
+        x = [rng.getrandbits(63) for _ in range(n)]
+        # as unlike as the threshold allows: some left out, some put in
+        out = next(k for k in range(n, -1, -1) if (n - k) / (n + k) >= t)
+        rows += [(i, x), (i + 1, x[: n - out] + [rng.getrandbits(63) for _ in range(out)])]
+    s = spark.createDataFrame(rows, "id bigint, set array<bigint>")
+    got = {(r.a, r.b) for r in dedup.candidates(dedup.shared_keys(s, t), t).collect()}
+    assert got >= {(i, i + 1) for i in range(0, 1200, 2)}
+
+
 def test_components_of_a_long_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
     assert {r.component for r in dedup.components(e).collect()} == {0}
