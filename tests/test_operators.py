@@ -192,6 +192,24 @@ def test_sparse_dot_is_the_score(spark):
     assert got == pytest.approx(want) and set(got) == {(1, "a"), (1, "b")}
 
 
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_stay_where_their_chunks_are(spark):
+    c = spark.createDataFrame([("a", "alpha beta beta gamma"), ("b", "beta delta"), ("c", "")], "chunk_id string, text string")
+    assert _exchanges(retrieval.postings(retrieval.LexicalIndex(c).terms)) == 0
+    got = {(r.chunk_id, r.term): (r.tf, r.df) for r in retrieval.LexicalIndex(c).postings.collect()}
+    assert got == {("a", "alpha"): (1, 1), ("a", "beta"): (2, 2), ("a", "gamma"): (1, 1), ("b", "beta"): (1, 2), ("b", "delta"): (1, 1)}
+
+
+def test_an_embedding_is_formed_once_though_filtered(spark):
+    d = spark.createDataFrame([("alpha beta alpha",), ("",), (None,)], "text string")
+    v = d.select(retrieval.hashed_embedding("text", 16).alias("vec")).where("vec IS NOT NULL")
+    assert v._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [round(sum(x * x for x in r.vec), 9) for r in v.collect()] == [1.0]
+
+
 def test_ties_break_before_the_cut(spark):
     s = spark.createDataFrame([(1, c, 1.0) for c in "dcba"], "query_id bigint, chunk_id string, score double")
     assert [r.chunk_id for r in retrieval.ranked(s, 2, "x").orderBy("rank").collect()] == ["a", "b"]
