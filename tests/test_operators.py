@@ -150,6 +150,17 @@ def test_clusters(spark):
     assert got[0].similarity_floor < 1
 
 
+def test_sentences_and_their_distances_shuffle_nothing(spark):
+    d = spark.createDataFrame([(1, "Short. " + "a longer sentence that stands on its own here. " * 3), (2, "one"), (3, None), (4, "")], "doc_id bigint, text string")
+    s = chunking.sentences(d)
+    assert _exchanges(s) == 0
+    got = {(r.doc_id, r.pos): r.sentence for r in s.collect()}
+    assert len(got) == 4 and got[1, 0].startswith("Short. a longer") and got[2, 0] == "one"
+    v = s.select("doc_id", "pos", F.when(F.col("pos") == 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("vec")).coalesce(1)
+    x = chunking.distances(v)
+    assert _exchanges(x) == 0 and sorted(tuple(r) for r in x.collect()) == [(1, 0, 1.0), (1, 1, 1.0)]
+
+
 def test_all_pairs_of_a_cluster(spark):
     # the least id is similar to both others, which are similar to each other too
     body = [f"word{i}" for i in range(200)]
