@@ -82,9 +82,9 @@ def largest_clusters(chunks: DataFrame, n: int = 8) -> DataFrame:
 
 def probes(docs: DataFrame, parts: DataFrame, found: DataFrame, titles: DataFrame, limit: int = evalset.PER_SLICE, seed: int = sampling.SEED) -> DataFrame:
     """The four slices of probes over readable documents: query_id, slice, query, spans."""
-    good = readable(docs).select("doc_id")
+    good = durable(readable(docs).select("doc_id"))
     keep = lambda t, c="doc_id": t.join(good, t[c] == good["doc_id"], "left_semi")
-    ids = keep(found).withColumnRenamed("doc_id", "id")
+    ids = durable(keep(found).withColumnRenamed("doc_id", "id"))
     made = [
         evalset.exact_identifier(ids, limit, seed), evalset.section_lookup(keep(parts), limit, seed),
         evalset.title_lookup(keep(titles), limit, seed), evalset.unanswerable(ids, limit, seed),

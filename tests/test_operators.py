@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import identifiers, text
 from parchment.operators import answers, chunking, citations, contextual, curate, dedup, fusion, golden, judge, metrics, providers, retrieval, sampling, sections, stats
+from parchment.functions import text as t_
 from parchment.plans.literals import LOREM, literal
 from parchment.sources import feeds, files
 from parchment.streaming import events
@@ -161,6 +162,12 @@ def test_sentences_and_their_distances_shuffle_nothing(spark):
     assert _exchanges(x) == 0 and sorted(tuple(r) for r in x.collect()) == [(1, 0, 1.0), (1, 1, 1.0)]
 
 
+def test_odd_characters_are_counted_not_all_others_replaced(spark):
+    d = spark.createDataFrame([("x" * 498 + "\x01\x9f",), ("\t\n\r" * 200,), (None,)], "text string").select(t_.control_share("text").alias("s"))
+    assert "regexp_replace" not in d._jdf.queryExecution().executedPlan().toString()
+    assert [r.s for r in d.collect()] == [2 / 500, 0.0, None]
+
+
 def test_all_pairs_of_a_cluster(spark):
     # the least id is similar to both others, which are similar to each other too
     body = [f"word{i}" for i in range(200)]
