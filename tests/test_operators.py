@@ -168,6 +168,14 @@ def test_odd_characters_are_counted_not_all_others_replaced(spark):
     assert [r.s for r in d.collect()] == [2 / 500, 0.0, None]
 
 
+def test_overlaps_form_no_joined_rows(spark):
+    line = "a line that stands in every one of the texts here"
+    d = spark.createDataFrame([(i, f"{line} and own{i} words{i} of{i} it{i}") for i in range(40)], "id bigint, text string")
+    x = dedup.overlaps(d.where("id < 4"), d)
+    assert _exchanges(x) == 0
+    assert {(r.a, r.b) for r in x.collect()} == {(a, b) for a in range(4) for b in range(40) if a != b}
+
+
 def test_all_pairs_of_a_cluster(spark):
     # the least id is similar to both others, which are similar to each other too
     body = [f"word{i}" for i in range(200)]
